@@ -153,3 +153,107 @@ QUERIES = {
     "confusion_matrix": q_confusion_matrix,
     "error_rows": q_error_rows,
 }
+
+
+# ---------------------------------------------------------------- TF-IDF, splits, naive Bayes
+
+from textlens.operators import splits as D  # noqa: E402
+from textlens.operators import tfidf as V  # noqa: E402
+from textlens.operators.models import naive_bayes_keyed  # noqa: E402
+
+
+def q_ngram_df(spark, sf_dir):
+    tf = V.term_counts(labelled(spark, sf_dir), "id", "text")
+    return V.document_frequency(tf, "id")
+
+
+def q_tfidf_weights(spark, sf_dir):
+    w = V.tfidf(labelled(spark, sf_dir), "id", "text")
+    return w.select("id", "term", "tf", "df", F.round("w", R).alias("w"))
+
+
+def q_vocab_size(spark, sf_dir):
+    tf = V.term_counts(labelled(spark, sf_dir), "id", "text")
+    return V.shape(tf, "id")
+
+
+def split_frame(spark, sf_dir) -> DataFrame:
+    return D.stratified_split(labelled(spark, sf_dir).select("id", "category"), "id", "category")
+
+
+def q_stratified_split(spark, sf_dir):
+    return split_frame(spark, sf_dir).select("id", "category", "split")
+
+
+def q_kfold_assign(spark, sf_dir):
+    return D.kfold_assign(labelled(spark, sf_dir).select("id", "category"), "id", "category")
+
+
+def q_group_split(spark, sf_dir):
+    d = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), "source")
+    return D.group_split(d, "source").select("id", "source", "split")
+
+
+def q_split_report(spark, sf_dir):
+    return D.split_report(split_frame(spark, sf_dir), "category")
+
+
+def q_tfidf_transform_test(spark, sf_dir):
+    d = labelled(spark, sf_dir)
+    s = split_frame(spark, sf_dir)
+    train, test = D.rows_of_split(d, s, "id", "train"), D.rows_of_split(d, s, "id", "test")
+    w = V.fit_transform(train, test, "id", "text")
+    return w.select("id", "term", "tf", "df", F.round("w", R).alias("w"))
+
+
+def nb_holdout(spark, sf_dir) -> DataFrame:
+    d = labelled(spark, sf_dir)
+    assign = split_frame(spark, sf_dir).select(F.lit(0).alias("key"), "id", F.col("split").alias("side"))
+    return naive_bayes_keyed(d, assign, "id", "text", "category")
+
+
+def q_nb_predict(spark, sf_dir):
+    p = nb_holdout(spark, sf_dir)
+    return p.select("id", "actual", "predicted", F.round("confidence", R).alias("confidence"))
+
+
+def q_nb_cv_macro_f1(spark, sf_dir):
+    d = labelled(spark, sf_dir)
+    folds = D.kfold_assign(d.select("id", "category"), "id", "category")
+    assign = folds.select("id", "fold", F.explode(F.sequence(F.lit(0), F.lit(D.N_FOLDS - 1))).alias("key"))
+    assign = assign.select("key", "id", F.when(F.col("fold") == F.col("key"), "test").otherwise("train").alias("side"))
+    pred = naive_bayes_keyed(d, assign, "id", "text", "category")
+    per_fold = E.summary(pred, "actual", "predicted", by=["key"])
+    return per_fold.agg(F.round(F.avg("macro_f1"), R).alias("mean_macro_f1"),
+                        F.round(F.stddev_pop("macro_f1"), R).alias("std_macro_f1"),
+                        F.count(F.lit(1)).alias("folds"))
+
+
+def q_model_comparison(spark, sf_dir):
+    """Keyword matcher (both generations) and naive Bayes on the same hold-out rows."""
+    nb = nb_holdout(spark, sf_dir)
+    test_ids = nb.select("id")
+    d = labelled(spark, sf_dir).join(test_ids, "id", "left_semi")
+    kw = K.with_keyword_result(d, "text", LANG_LEXICON)
+    kw1 = K.with_first_generation(d, "text", LANG_LEXICON_V1)
+    table = E.comparison([
+        E.summary(nb, "actual", "predicted", model="naive_bayes"),
+        E.summary(kw, "category", "kw_category", model="keyword_weighted"),
+        E.summary(kw1, "category", "kw1_category", model="keyword_first_gen"),
+    ])
+    return table
+
+
+QUERIES.update({
+    "ngram_df": q_ngram_df,
+    "tfidf_weights": q_tfidf_weights,
+    "vocab_size": q_vocab_size,
+    "stratified_split": q_stratified_split,
+    "kfold_assign": q_kfold_assign,
+    "group_split": q_group_split,
+    "split_report": q_split_report,
+    "tfidf_transform_test": q_tfidf_transform_test,
+    "nb_predict": q_nb_predict,
+    "nb_cv_macro_f1": q_nb_cv_macro_f1,
+    "model_comparison": q_model_comparison,
+})

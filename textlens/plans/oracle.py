@@ -59,36 +59,40 @@ SELECT d.id, d.category,
 FROM d LEFT JOIN agg ON d.id = agg.id LEFT JOIN w ON d.id = w.id"""
 
 
-def summary_sql(pred: str, actual: str = "actual", predicted: str = "predicted", model: str | None = None) -> str:
+def per_class_sql(p: str, keyed: bool = False) -> str:
+    """Per (key, class) tp / n_pred / support / precision / recall / f1 over the label union
+    of relation ``p`` (key, actual, predicted); ``key`` is 0 when not keyed."""
+    k = "key" if keyed else "0 AS key"
+    return f"""
+SELECT key, class, tp, n_pred, support, precision, recall,
+       CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
+FROM (
+  SELECT cl.key, cl.class, coalesce(tp.tp, 0) AS tp, coalesce(np.n_pred, 0) AS n_pred,
+         coalesce(ns.support, 0) AS support,
+         CASE WHEN coalesce(np.n_pred, 0) > 0 THEN coalesce(tp.tp, 0)::DOUBLE / np.n_pred ELSE 0.0 END AS precision,
+         CASE WHEN coalesce(ns.support, 0) > 0 THEN coalesce(tp.tp, 0)::DOUBLE / ns.support ELSE 0.0 END AS recall
+  FROM (SELECT DISTINCT {k}, actual AS class FROM {p} WHERE actual IS NOT NULL
+        UNION SELECT DISTINCT {k}, predicted FROM {p} WHERE predicted IS NOT NULL) cl
+  LEFT JOIN (SELECT {k}, actual AS class, count(*) AS tp FROM {p} WHERE actual = predicted GROUP BY ALL) tp
+         ON tp.key = cl.key AND tp.class = cl.class
+  LEFT JOIN (SELECT {k}, predicted AS class, count(*) AS n_pred FROM {p} GROUP BY ALL) np
+         ON np.key = cl.key AND np.class = cl.class
+  LEFT JOIN (SELECT {k}, actual AS class, count(*) AS support FROM {p} GROUP BY ALL) ns
+         ON ns.key = cl.key AND ns.class = cl.class)"""
+
+
+def summary_sql(pred: str, actual: str = "actual", predicted: str = "predicted", model: str | None = None,
+                digits: int = R) -> str:
     """E1+E2 over a relation with (actual, predicted) columns."""
     m = f"{q(model)} AS model, " if model else ""
     return f"""
 WITH p AS (SELECT {actual} AS actual, {predicted} AS predicted FROM ({pred})),
 pc AS ({per_class_sql('p')})
-SELECT {m}round(sum(tp) / sum(support), {R}) AS accuracy, round(avg(precision), {R}) AS precision,
-       round(avg(recall), {R}) AS recall, round(avg(f1), {R}) AS macro_f1, CAST(sum(support) AS BIGINT) AS n
+SELECT {m}round(sum(tp) / sum(support), {digits}) AS accuracy, round(avg(precision), {digits}) AS precision,
+       round(avg(recall), {digits}) AS recall, round(avg(f1), {digits}) AS macro_f1, CAST(sum(support) AS BIGINT) AS n
 FROM pc"""
 
 
-def per_class_sql(p: str) -> str:
-    return f"""
-SELECT class, tp, n_pred, support, precision, recall,
-       CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1
-FROM (
-  SELECT c.class,
-         coalesce((SELECT count(*) FROM {p} WHERE actual = c.class AND predicted = c.class), 0) AS tp,
-         coalesce((SELECT count(*) FROM {p} WHERE predicted = c.class), 0) AS n_pred,
-         coalesce((SELECT count(*) FROM {p} WHERE actual = c.class), 0) AS support,
-         CASE WHEN (SELECT count(*) FROM {p} WHERE predicted = c.class) > 0
-              THEN (SELECT count(*) FROM {p} WHERE actual = c.class AND predicted = c.class)::DOUBLE
-                   / (SELECT count(*) FROM {p} WHERE predicted = c.class) ELSE 0.0 END AS precision,
-         CASE WHEN (SELECT count(*) FROM {p} WHERE actual = c.class) > 0
-              THEN (SELECT count(*) FROM {p} WHERE actual = c.class AND predicted = c.class)::DOUBLE
-                   / (SELECT count(*) FROM {p} WHERE actual = c.class) ELSE 0.0 END AS recall
-  FROM (SELECT actual AS class FROM {p} WHERE actual IS NOT NULL
-        UNION SELECT predicted FROM {p} WHERE predicted IS NOT NULL) c)"""
-
-
 def class_report_sql(pred: str) -> str:
     return f"""
 WITH p AS (SELECT actual, predicted FROM ({pred})),
@@ -199,3 +203,128 @@ SELECT category, term, CAST(tf AS BIGINT) AS tf, CAST(rank AS INTEGER) AS rank F
 SELECT id, category AS actual, kw_category AS predicted, kw_score
 FROM ({keyword_best_sql(LANG_LEXICON)}) WHERE kw_category IS DISTINCT FROM category""",
 }
+
+
+# ---------------------------------------------------------------- TF-IDF, splits, naive Bayes
+
+def tf_ctes(src: str) -> str:
+    """CTEs tok, grams, tf(id, term, tf) over relation ``src`` (id, text)."""
+    return f"""tok AS (SELECT id, regexp_extract_all(lower(text), {q(TOKEN_PATTERN)}) AS t FROM {src}),
+grams AS (SELECT id, unnest(t) AS term FROM tok
+          UNION ALL SELECT id, t[i] || ' ' || t[i + 1] FROM tok, range(1, len(t)) r(i)),
+tf AS (SELECT id, term, count(*) AS tf FROM grams GROUP BY ALL)"""
+
+
+SPLIT = f"""(SELECT id, category,
+        CASE WHEN rn <= round(n_c * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
+ FROM (SELECT id, category,
+              row_number() OVER (PARTITION BY category ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) AS rn,
+              count(*) OVER (PARTITION BY category) AS n_c FROM {LABELLED}))"""
+
+KFOLD = f"""(SELECT id, category,
+        CAST((row_number() OVER (PARTITION BY category ORDER BY md5(CAST(id AS VARCHAR) || ':42'), id) - 1) % 5
+             AS INTEGER) AS fold
+ FROM {LABELLED})"""
+
+
+def nb_sql(assign: str) -> str:
+    """One TF-IDF + multinomial NB model per key of ``assign`` (key, id, side);
+    returns (key, id, actual, predicted, confidence) for the test rows."""
+    return f"""
+WITH d AS {LABELLED},
+asg AS {assign},
+{tf_ctes('d')},
+a AS (SELECT asg.key, asg.id, asg.side, d.category FROM asg JOIN d ON d.id = asg.id),
+tr AS (SELECT a.key, tf.id, tf.term, tf.tf, a.category FROM tf JOIN a ON a.id = tf.id WHERE a.side = 'train'),
+te AS (SELECT a.key, tf.id, tf.term, tf.tf FROM tf JOIN a ON a.id = tf.id WHERE a.side = 'test'),
+n AS (SELECT key, count(*) AS n FROM a WHERE side = 'train' GROUP BY key),
+idf AS (SELECT tr.key, tr.term, ln((1 + any_value(n.n)) / (1 + count(*))) + 1 AS idf
+        FROM tr JOIN n ON n.key = tr.key GROUP BY tr.key, tr.term),
+wtr AS (SELECT tr.key, tr.id, tr.term, tr.category,
+               tr.tf * idf.idf / sqrt(sum((tr.tf * idf.idf) * (tr.tf * idf.idf)) OVER (PARTITION BY tr.key, tr.id)) AS w
+        FROM tr JOIN idf ON idf.key = tr.key AND idf.term = tr.term),
+wte AS (SELECT te.key, te.id, te.term,
+               te.tf * idf.idf / sqrt(sum((te.tf * idf.idf) * (te.tf * idf.idf)) OVER (PARTITION BY te.key, te.id)) AS w
+        FROM te JOIN idf ON idf.key = te.key AND idf.term = te.term),
+ct AS (SELECT key, category, term, sum(w) AS W FROM wtr GROUP BY ALL),
+voc AS (SELECT key, count(DISTINCT term) AS V FROM wtr GROUP BY key),
+cls AS (SELECT a.key, a.category, ln(count(*)::DOUBLE / any_value(n.n)) AS prior
+        FROM a JOIN n ON n.key = a.key WHERE a.side = 'train' GROUP BY a.key, a.category),
+den AS (SELECT ct.key, ct.category, ln(sum(ct.W) + any_value(voc.V)) AS logden
+        FROM ct JOIN voc ON voc.key = ct.key GROUP BY ct.key, ct.category),
+sp AS (SELECT wte.key, wte.id, ct.category, sum(wte.w * ln(ct.W + 1)) AS s
+       FROM wte JOIN ct ON ct.key = wte.key AND ct.term = wte.term GROUP BY ALL),
+l1 AS (SELECT key, id, sum(w) AS l1 FROM wte GROUP BY ALL),
+tst AS (SELECT key, id, category AS actual FROM a WHERE side = 'test'),
+sc AS (SELECT t.key, t.id, t.actual, c.category,
+              c.prior - coalesce(l1.l1, 0) * den.logden + coalesce(sp.s, 0) AS score
+       FROM tst t JOIN cls c ON c.key = t.key
+       JOIN den ON den.key = c.key AND den.category = c.category
+       LEFT JOIN l1 ON l1.key = t.key AND l1.id = t.id
+       LEFT JOIN sp ON sp.key = t.key AND sp.id = t.id AND sp.category = c.category),
+sc2 AS (SELECT *, max(score) OVER (PARTITION BY key, id) AS mx FROM sc),
+rk AS (SELECT *, row_number() OVER (PARTITION BY key, id ORDER BY score DESC, category) AS r,
+              exp(score - mx) / sum(exp(score - mx)) OVER (PARTITION BY key, id) AS prob FROM sc2)
+SELECT key, id, actual, category AS predicted, prob AS confidence FROM rk WHERE r = 1"""
+
+
+NB_HOLDOUT = nb_sql(f"(SELECT 0 AS key, id, split AS side FROM {SPLIT})")
+NB_CV = nb_sql(f"""(SELECT f.key, k.id, CASE WHEN k.fold = f.key THEN 'test' ELSE 'train' END AS side
+                    FROM {KFOLD} k CROSS JOIN (SELECT range AS key FROM range(5)) f)""")
+
+
+def keyword_on(ids: str, lex_sql: str, pred_col: str) -> str:
+    return f"SELECT category AS actual, {pred_col} AS predicted FROM ({lex_sql}) WHERE id IN (SELECT id FROM {ids})"
+
+
+SQL.update({
+    "ngram_df": f"""
+WITH d AS {LABELLED}, {tf_ctes('d')}
+SELECT term, CAST(count(*) AS BIGINT) AS df FROM tf GROUP BY term""",
+    "tfidf_weights": f"""
+WITH d AS {LABELLED}, {tf_ctes('d')},
+n AS (SELECT count(*) AS n FROM d),
+dfr AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+raw AS (SELECT tf.id, tf.term, tf.tf, dfr.df, tf.tf * (ln((1 + n.n) / (1 + dfr.df)) + 1) AS x
+        FROM tf JOIN dfr ON dfr.term = tf.term, n)
+SELECT id, term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df,
+       round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), {R}) AS w FROM raw""",
+    "vocab_size": f"""
+WITH d AS {LABELLED}, {tf_ctes('d')}
+SELECT CAST(count(DISTINCT id) AS BIGINT) AS n_docs, CAST(count(DISTINCT term) AS BIGINT) AS n_terms,
+       CAST(count(*) AS BIGINT) AS n_postings FROM tf""",
+    "stratified_split": f"SELECT id, category, split FROM {SPLIT}",
+    "kfold_assign": f"SELECT id, category, fold FROM {KFOLD}",
+    "group_split": """
+WITH g AS (SELECT DISTINCT source FROM documents),
+r AS (SELECT source, row_number() OVER (ORDER BY md5(CAST(source AS VARCHAR) || ':42'), source) AS rn,
+             count(*) OVER () AS G FROM g)
+SELECT d.doc_id AS id, d.source, CASE WHEN r.rn <= ceil(r.G * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
+FROM documents d LEFT JOIN r ON r.source = d.source""",
+    "split_report": f"SELECT split, category, CAST(count(*) AS BIGINT) AS n FROM {SPLIT} GROUP BY ALL",
+    "tfidf_transform_test": f"""
+WITH d AS {LABELLED}, s AS {SPLIT}, {tf_ctes('d')},
+tr AS (SELECT tf.* FROM tf JOIN s ON s.id = tf.id WHERE s.split = 'train'),
+te AS (SELECT tf.* FROM tf JOIN s ON s.id = tf.id WHERE s.split = 'test'),
+n AS (SELECT count(*) AS n FROM s WHERE split = 'train'),
+dfr AS (SELECT term, count(*) AS df FROM tr GROUP BY term),
+raw AS (SELECT te.id, te.term, te.tf, dfr.df, te.tf * (ln((1 + n.n) / (1 + dfr.df)) + 1) AS x
+        FROM te JOIN dfr ON dfr.term = te.term, n)
+SELECT id, term, CAST(tf AS BIGINT) AS tf, CAST(df AS BIGINT) AS df,
+       round(x / sqrt(sum(x * x) OVER (PARTITION BY id)), {R}) AS w FROM raw""",
+    "nb_predict": f"SELECT id, actual, predicted, round(confidence, {R}) AS confidence FROM ({NB_HOLDOUT})",
+    "nb_cv_macro_f1": f"""
+WITH p AS (SELECT key, actual, predicted FROM ({NB_CV})),
+pc AS ({per_class_sql('p', keyed=True)}),
+f AS (SELECT key, avg(f1) AS macro_f1 FROM pc GROUP BY key)
+SELECT round(avg(macro_f1), {R}) AS mean_macro_f1, round(stddev_pop(macro_f1), {R}) AS std_macro_f1,
+       CAST(count(*) AS BIGINT) AS folds FROM f""",
+    "model_comparison": f"""
+SELECT model, accuracy, precision, recall, macro_f1 FROM (
+SELECT * FROM ({summary_sql(f"SELECT actual, predicted FROM ({NB_HOLDOUT})", model="naive_bayes", digits=4)})
+UNION ALL
+SELECT * FROM ({summary_sql(keyword_on(f"(SELECT id FROM {SPLIT} WHERE split = 'test')", keyword_best_sql(LANG_LEXICON), "kw_category"), model="keyword_weighted", digits=4)})
+UNION ALL
+SELECT * FROM ({summary_sql(f"SELECT l.category AS actual, v.kw1_category AS predicted FROM ({keyword_v1_sql(LANG_LEXICON_V1)}) v JOIN {LABELLED} l ON l.id = v.id WHERE v.id IN (SELECT id FROM {SPLIT} WHERE split = 'test')", model="keyword_first_gen", digits=4)})
+)""",
+})
