@@ -257,3 +257,124 @@ QUERIES.update({
     "nb_cv_macro_f1": q_nb_cv_macro_f1,
     "model_comparison": q_model_comparison,
 })
+
+
+# ---------------------------------------------------------------- base scorer, hybrid decision, log report
+
+from textlens.functions.text import clock_text, preview  # noqa: E402
+from textlens.operators import report as A  # noqa: E402
+from textlens.operators import scoring as M  # noqa: E402
+from textlens.plans.lexicons import EMBED_LEXICON  # noqa: E402
+
+TEMPERATURE = 0.05
+
+
+def centroid_scored(spark, sf_dir) -> tuple[DataFrame, list[str]]:
+    """Every embedding scored by the class-centroid base model: probs in label order."""
+    emb = read_table(spark, sf_dir, "embeddings")
+    model = M.CentroidModel.fit(emb, "embedding", "label")
+    labels = [str(x) for x in model.labels]
+    return model.transform(emb, "embedding", temperature=TEMPERATURE), labels
+
+
+def hybrid_scored(spark, sf_dir) -> DataFrame:
+    """M5: documents that have an embedding, scored by base model + keyword ladder (whole texts)."""
+    scored, labels = centroid_scored(spark, sf_dir)
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "label", "probs"), "doc_id")
+    return M.score(j, "text", "probs", labels, EMBED_LEXICON)
+
+
+def q_softmax_argmax(spark, sf_dir):
+    scored, labels = centroid_scored(spark, sf_dir)
+    out = M.with_prediction(scored, "probs", labels)
+    return out.select("vec_id", F.col("label").cast("string").alias("label"), "base_category",
+                      F.round("base_confidence", R).alias("confidence"),
+                      F.round(F.aggregate("probs", F.lit(0.0), lambda a, x: a + x), R).alias("prob_sum"))
+
+
+def q_top3_classes(spark, sf_dir):
+    scored, labels = centroid_scored(spark, sf_dir)
+    out = M.with_top_k(scored, "probs", labels, k=3)
+    return out.select("vec_id", F.posexplode("top").alias("pos", "t")).select(
+        "vec_id", (F.col("pos") + 1).alias("rank"), F.col("t.label").alias("label"),
+        F.round("t.prob", R).alias("prob"), F.col("t.pct").alias("pct"))
+
+
+def q_hybrid_predict(spark, sf_dir):
+    out = hybrid_scored(spark, sf_dir)
+    return out.select("doc_id", F.col("label").cast("string").alias("actual"), "base_category",
+                      F.round("base_confidence", R).alias("base_confidence"), "kw_category", "kw_score",
+                      "rule", "category", F.round("confidence", R).alias("confidence"), "method",
+                      join_list("matched_keywords").alias("matched_keywords"))
+
+
+def q_keyword_v1_decision(spark, sf_dir):
+    """K4+K5 on the hybrid task: any first-generation hit overrides the base model."""
+    scored, labels = centroid_scored(spark, sf_dir)
+    d = docs(spark, sf_dir).select("doc_id", "text")
+    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "probs"), "doc_id")
+    j = M.with_prediction(j, "probs", labels)
+    j = K.with_first_generation(j, "text", EMBED_LEXICON)
+    out = K.first_generation_decision(j, "base_category", "base_confidence")
+    return out.select("doc_id", "kw1_category", "kw1_score", "category",
+                      F.round("confidence", R).alias("confidence"), "method")
+
+
+def hybrid_comparison(spark, sf_dir) -> DataFrame:
+    out = hybrid_scored(spark, sf_dir).withColumn("actual", F.col("label").cast("string"))
+    return E.comparison([E.summary(out, "actual", "base_category", model="base"),
+                         E.summary(out, "actual", "category", model="hybrid")])
+
+
+def q_hybrid_comparison(spark, sf_dir):
+    return hybrid_comparison(spark, sf_dir)
+
+
+def q_hybrid_improvement(spark, sf_dir):
+    return E.improvement(hybrid_comparison(spark, sf_dir), "base", "hybrid")
+
+
+def q_hybrid_confusion(spark, sf_dir):
+    out = hybrid_scored(spark, sf_dir).withColumn("actual", F.col("label").cast("string"))
+    return E.confusion_matrix(out, "actual", "category")
+
+
+def scored_log(spark, sf_dir) -> DataFrame:
+    """The scored rows as a log: each scoring stamped with the time of the event of the same id."""
+    ev = read_table(spark, sf_dir, "events").select(F.col("event_id").alias("doc_id"), F.col("ts").alias("timestamp"))
+    return (hybrid_scored(spark, sf_dir).join(ev, "doc_id")
+            .select("doc_id", F.col("text").alias("complaint"), "category", "confidence", "method", "timestamp"))
+
+
+def q_log_summary(spark, sf_dir):
+    return A.log_summary(scored_log(spark, sf_dir))
+
+
+def q_top_category(spark, sf_dir):
+    return A.top_category(scored_log(spark, sf_dir))
+
+
+def q_log_distribution(spark, sf_dir):
+    return P.distribution(scored_log(spark, sf_dir), "category")
+
+
+def q_recent_rows(spark, sf_dir):
+    out = A.recent_rows(scored_log(spark, sf_dir), n=10, id_col="doc_id")
+    return out.select("doc_id", clock_text("timestamp").alias("timestamp"), "category",
+                      F.round("confidence", R).alias("confidence"), "method", "preview", "confidence_pct")
+
+
+QUERIES.update({
+    "softmax_argmax": q_softmax_argmax,
+    "top3_classes": q_top3_classes,
+    "hybrid_predict": q_hybrid_predict,
+    "keyword_v1_decision": q_keyword_v1_decision,
+    "hybrid_comparison": q_hybrid_comparison,
+    "hybrid_improvement": q_hybrid_improvement,
+    "hybrid_confusion": q_hybrid_confusion,
+    "log_summary": q_log_summary,
+    "top_category": q_top_category,
+    "log_distribution": q_log_distribution,
+    "recent_rows": q_recent_rows,
+})

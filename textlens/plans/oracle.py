@@ -328,3 +328,107 @@ UNION ALL
 SELECT * FROM ({summary_sql(f"SELECT l.category AS actual, v.kw1_category AS predicted FROM ({keyword_v1_sql(LANG_LEXICON_V1)}) v JOIN {LABELLED} l ON l.id = v.id WHERE v.id IN (SELECT id FROM {SPLIT} WHERE split = 'test')", model="keyword_first_gen", digits=4)})
 )""",
 })
+
+
+# ---------------------------------------------------------------- base scorer, hybrid decision, log report
+
+from textlens.plans.lexicons import EMBED_LEXICON  # noqa: E402
+
+CENTROID = """
+x AS (SELECT vec_id, label, CAST(unnest(embedding) AS DOUBLE) AS v, generate_subscripts(embedding, 1) AS pos
+      FROM embeddings),
+cen AS (SELECT label AS cls, pos, avg(v) AS m FROM x GROUP BY ALL),
+lg AS (SELECT x.vec_id, cen.cls, sum(x.v * cen.m) / CAST(0.05 AS DOUBLE) AS logit
+       FROM x JOIN cen ON cen.pos = x.pos GROUP BY ALL),
+pr AS (SELECT vec_id, cls, exp(logit - max(logit) OVER (PARTITION BY vec_id))
+              / sum(exp(logit - max(logit) OVER (PARTITION BY vec_id))) OVER (PARTITION BY vec_id) AS p FROM lg),
+base AS (SELECT vec_id, arg_max(cls, p * 1e6 - cls * 1e-9) AS cls_id, max(p) AS conf, sum(p) AS psum FROM pr GROUP BY vec_id)"""
+
+# DuckDB forbids a window inside a window: compute the max first.
+CENTROID = CENTROID.replace("""pr AS (SELECT vec_id, cls, exp(logit - max(logit) OVER (PARTITION BY vec_id))
+              / sum(exp(logit - max(logit) OVER (PARTITION BY vec_id))) OVER (PARTITION BY vec_id) AS p FROM lg),""",
+"""lg2 AS (SELECT *, max(logit) OVER (PARTITION BY vec_id) AS mx FROM lg),
+pr AS (SELECT vec_id, cls, exp(logit - mx) / sum(exp(logit - mx)) OVER (PARTITION BY vec_id) AS p FROM lg2),""")
+CENTROID = CENTROID.replace("""base AS (SELECT vec_id, arg_max(cls, p * 1e6 - cls * 1e-9) AS cls_id, max(p) AS conf, sum(p) AS psum FROM pr GROUP BY vec_id)""",
+"""rk AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, cls) AS r,
+             sum(p) OVER (PARTITION BY vec_id) AS psum FROM pr),
+base AS (SELECT vec_id, cls AS cls_id, p AS conf, psum FROM rk WHERE r = 1)""")
+
+KW_EMB = keyword_best_sql(EMBED_LEXICON)
+
+HYBRID = f"""
+WITH {CENTROID},
+kw AS ({KW_EMB}),
+j AS (SELECT d.doc_id, CAST(e.label AS VARCHAR) AS actual, CAST(b.cls_id AS VARCHAR) AS base_category,
+             b.conf AS base_confidence, kw.kw_category, kw.kw_score, kw.kw_matches
+      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN base b ON b.vec_id = d.doc_id
+      JOIN kw ON kw.id = d.doc_id),
+r AS (SELECT *, CASE WHEN kw_category IS NULL THEN 1 WHEN kw_category = base_category THEN 2
+                     WHEN kw_score >= 3 AND base_confidence < 0.45 THEN 3
+                     WHEN kw_score >= 2 AND base_confidence < 0.25 THEN 4 ELSE 5 END AS rule FROM j)
+SELECT doc_id, actual, base_category, base_confidence, kw_category, kw_score, rule,
+       CASE WHEN rule IN (3, 4) THEN kw_category ELSE base_category END AS category,
+       base_confidence AS confidence,
+       CASE rule WHEN 2 THEN 'agreement' WHEN 3 THEN 'hybrid_strong' WHEN 4 THEN 'hybrid_assisted' ELSE 'model' END AS method,
+       CASE WHEN rule IN (2, 3, 4) THEN kw_matches ELSE '' END AS matched_keywords
+FROM r"""
+
+LOG = f"""(SELECT h.doc_id, d.text AS complaint, h.category, h.confidence, h.method, e.ts AS timestamp
+          FROM ({HYBRID}) h JOIN events e ON e.event_id = h.doc_id JOIN documents d ON d.doc_id = h.doc_id)"""
+
+
+def kw1_on(src_ids: str, lex: Lexicon) -> str:
+    return keyword_v1_sql(lex).replace(f"FROM {LABELLED})", f"FROM {LABELLED} WHERE id IN {src_ids})", 1)
+
+
+SQL.update({
+    "softmax_argmax": f"""
+WITH {CENTROID}
+SELECT e.vec_id, CAST(e.label AS VARCHAR) AS label, CAST(b.cls_id AS VARCHAR) AS base_category,
+       round(b.conf, {R}) AS confidence, round(b.psum, {R}) AS prob_sum
+FROM embeddings e JOIN base b ON b.vec_id = e.vec_id""",
+    "top3_classes": f"""
+WITH {CENTROID}
+SELECT vec_id, CAST(r AS INTEGER) AS rank, CAST(cls AS VARCHAR) AS label, round(p, {R}) AS prob,
+       round(p * 100, 2) AS pct FROM rk WHERE r <= 3""",
+    "hybrid_predict": f"""
+SELECT doc_id, actual, base_category, round(base_confidence, {R}) AS base_confidence, kw_category, kw_score,
+       rule, category, round(confidence, {R}) AS confidence, method, matched_keywords FROM ({HYBRID})""",
+    "keyword_v1_decision": f"""
+WITH {CENTROID},
+v1 AS ({kw1_on("(SELECT vec_id FROM embeddings)", EMBED_LEXICON)})
+SELECT d.doc_id, v1.kw1_category, v1.kw1_score,
+       CASE WHEN v1.kw1_score > 0 THEN v1.kw1_category ELSE CAST(b.cls_id AS VARCHAR) END AS category,
+       round(b.conf, {R}) AS confidence,
+       CASE WHEN v1.kw1_score > 0 THEN 'keyword_override' ELSE 'model' END AS method
+FROM documents d JOIN base b ON b.vec_id = d.doc_id JOIN v1 ON v1.id = d.doc_id""",
+    "hybrid_comparison": f"""
+SELECT model, accuracy, precision, recall, macro_f1 FROM (
+SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID})", model="base", digits=4)})
+UNION ALL
+SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})", model="hybrid", digits=4)}))""",
+    "hybrid_improvement": f"""
+WITH t AS (SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID})", model="base", digits=4)})
+           UNION ALL
+           SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})", model="hybrid", digits=4)}))
+SELECT round((max(accuracy) FILTER (WHERE model = 'hybrid') - max(accuracy) FILTER (WHERE model = 'base')) * 100, 2)
+         AS accuracy_points,
+       round(max(macro_f1) FILTER (WHERE model = 'hybrid') - max(macro_f1) FILTER (WHERE model = 'base'), 4)
+         AS macro_f1_gain FROM t""",
+    "hybrid_confusion": confusion_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})"),
+    "log_summary": f"""
+SELECT CAST(count(*) AS BIGINT) AS total, round(avg(round(confidence * 100, 2)), 4) AS avg_confidence_pct,
+       round(avg(CASE WHEN contains(method, 'hybrid') THEN 1.0 ELSE 0.0 END) * 100, 4) AS hybrid_share_pct
+FROM {LOG}""",
+    "top_category": f"""
+SELECT category, CAST(count(*) AS BIGINT) AS n FROM {LOG} WHERE category IS NOT NULL
+GROUP BY category ORDER BY n DESC, category LIMIT 1""",
+    "log_distribution": f"""
+SELECT category, CAST(count(*) AS BIGINT) AS n, round(count(*)::DOUBLE * 100 / sum(count(*)) OVER (), 4) AS share_pct
+FROM {LOG} WHERE category IS NOT NULL GROUP BY category""",
+    "recent_rows": f"""
+SELECT doc_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, category, round(confidence, {R}) AS confidence,
+       method, CASE WHEN length(complaint) > 28 THEN substr(complaint, 1, 28) || '…' ELSE complaint END AS preview,
+       round(confidence * 100, 2) AS confidence_pct
+FROM {LOG} ORDER BY timestamp DESC, doc_id LIMIT 10""",
+})
