@@ -378,3 +378,62 @@ QUERIES.update({
     "log_distribution": q_log_distribution,
     "recent_rows": q_recent_rows,
 })
+
+
+# ---------------------------------------------------------------- near duplicates and template groups
+
+from textlens.operators import components as G  # noqa: E402
+from textlens.operators import similarity as S  # noqa: E402
+
+PAIR_THRESHOLD = 0.80
+SWEEP = (0.70, 0.80, 0.90, 0.95)
+
+
+def q_similar_pairs(spark, sf_dir):
+    pairs, _ = S.corpus_pairs(labelled(spark, sf_dir), "id", "text", PAIR_THRESHOLD)
+    return pairs.select("i", "j", F.round("sim", R).alias("sim"), "n_i", "n_j")
+
+
+def q_threshold_sweep(spark, sf_dir):
+    pairs, groups = S.corpus_pairs(labelled(spark, sf_dir), "id", "text", min(SWEEP))
+    return S.threshold_sweep(pairs, groups, SWEEP)
+
+
+def q_pair_preview(spark, sf_dir):
+    d = labelled(spark, sf_dir)
+    pairs, _ = S.corpus_pairs(d, "id", "text", PAIR_THRESHOLD)
+    first = pairs.orderBy("i", "j").limit(10)  # the preview is the feature
+    t = d.select("id", "text")
+    return (first.join(t.select(F.col("id").alias("i"), F.col("text").alias("text_i")), "i")
+            .join(t.select(F.col("id").alias("j"), F.col("text").alias("text_j")), "j")
+            .select("i", "j", F.round("sim", 3).alias("sim"), "text_i", "text_j"))
+
+
+def template_groups(spark, sf_dir) -> DataFrame:
+    """V8: connected components of the >= 0.80 graph over all rows; copies of a
+    text with terms join their representative by one edge each (a star)."""
+    d = labelled(spark, sf_dir)
+    pairs, groups = S.corpus_pairs(d, "id", "text", PAIR_THRESHOLD)
+    mem = S.members(d, "id", "text").join(groups.filter("has_terms").select("rid"), "rid")
+    edges = (pairs.select(F.col("i").alias("a"), F.col("j").alias("b"))
+             .unionByName(mem.filter(F.col("id") != F.col("rid")).select(F.col("id").alias("a"), F.col("rid").alias("b"))))
+    return G.components(d.select("id"), edges, "id")
+
+
+def q_template_groups(spark, sf_dir):
+    return template_groups(spark, sf_dir)
+
+
+def q_template_group_split(spark, sf_dir):
+    """D2 over V8: 20 % of template groups (not rows) go to test; no group crosses."""
+    grp = template_groups(spark, sf_dir)
+    return D.group_split(grp, "group_id").select("id", "group_id", "split")
+
+
+QUERIES.update({
+    "similar_pairs": q_similar_pairs,
+    "threshold_sweep": q_threshold_sweep,
+    "pair_preview": q_pair_preview,
+    "template_groups": q_template_groups,
+    "template_group_split": q_template_group_split,
+})

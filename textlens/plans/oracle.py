@@ -432,3 +432,63 @@ SELECT doc_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, category,
        round(confidence * 100, 2) AS confidence_pct
 FROM {LOG} ORDER BY timestamp DESC, doc_id LIMIT 10""",
 })
+
+
+# ---------------------------------------------------------------- near duplicates and template groups
+
+def pairs_sql(threshold: float) -> str:
+    """Naive all-pairs cosine over distinct texts (representative = smallest id), with copy counts."""
+    return f"""
+WITH d AS {LABELLED},
+g AS (SELECT text, min(id) AS rid, count(*) AS n FROM d GROUP BY text),
+nn AS (SELECT count(*) AS n FROM d),
+{tf_ctes('(SELECT rid AS id, text FROM g)')},
+dfr AS (SELECT tf.term, sum(g.n) AS df FROM tf JOIN g ON g.rid = tf.id GROUP BY tf.term),
+raw AS (SELECT tf.id, tf.term, tf.tf * (ln((1 + nn.n) / (1 + dfr.df)) + 1) AS x FROM tf JOIN dfr ON dfr.term = tf.term, nn),
+w AS (SELECT id, term, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS w FROM raw),
+p AS (SELECT a.id AS i, b.id AS j, sum(a.w * b.w) AS sim FROM w a JOIN w b ON a.term = b.term AND a.id < b.id
+      GROUP BY ALL HAVING sum(a.w * b.w) >= CAST({threshold} AS DOUBLE)),
+ht AS (SELECT DISTINCT id AS rid FROM w)
+SELECT p.i, p.j, p.sim, gi.n AS n_i, gj.n AS n_j,
+       (SELECT CAST(coalesce(sum(g.n * (g.n - 1) / 2), 0) AS BIGINT) FROM g JOIN ht ON ht.rid = g.rid) AS copy_pairs
+FROM p JOIN g gi ON gi.rid = p.i JOIN g gj ON gj.rid = p.j"""
+
+
+def groups_sql() -> str:
+    return f"""
+WITH RECURSIVE
+pp AS ({pairs_sql(0.8)}),
+d AS {LABELLED},
+g AS (SELECT text, min(id) AS rid FROM d GROUP BY text),
+{tf_ctes('(SELECT rid AS id, text FROM g)')},
+ht AS (SELECT DISTINCT id AS rid FROM tf),
+mem AS (SELECT d.id, g.rid FROM d JOIN g ON g.text = d.text JOIN ht ON ht.rid = g.rid WHERE d.id <> g.rid),
+e AS (SELECT i AS a, j AS b FROM pp UNION ALL SELECT id, rid FROM mem),
+e2 AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach(src, dst) AS (SELECT id, id FROM d UNION SELECT reach.src, e2.b FROM reach JOIN e2 ON e2.a = reach.dst)
+SELECT src AS id, min(dst) AS group_id FROM reach GROUP BY src"""
+
+
+SQL.update({
+    "similar_pairs": f"SELECT i, j, round(sim, {R}) AS sim, n_i, n_j FROM ({pairs_sql(0.8)})",
+    "threshold_sweep": f"""
+WITH p AS ({pairs_sql(0.7)}),
+c AS (SELECT any_value(copy_pairs) AS c FROM p),
+t AS (SELECT unnest([0.70, 0.80, 0.90, 0.95]::DOUBLE[]) AS threshold)
+SELECT t.threshold, CAST(count(p.i) AS BIGINT) AS text_pairs,
+       CAST(coalesce(sum(p.n_i * p.n_j), 0) + coalesce((SELECT c FROM c), (SELECT CAST(coalesce(sum(x.n * (x.n - 1) / 2), 0) AS BIGINT) FROM (SELECT count(*) AS n FROM documents GROUP BY text) x)) AS BIGINT) AS row_pairs,
+       CAST(2 * (coalesce(sum(p.n_i * p.n_j), 0) + coalesce((SELECT c FROM c), 0)) AS BIGINT) AS ordered_pairs
+FROM t LEFT JOIN p ON p.sim >= t.threshold GROUP BY t.threshold""",
+    "pair_preview": f"""
+WITH p AS (SELECT i, j, sim FROM ({pairs_sql(0.8)}) ORDER BY i, j LIMIT 10)
+SELECT p.i, p.j, round(p.sim, 3) AS sim, a.text AS text_i, b.text AS text_j
+FROM p JOIN documents a ON a.doc_id = p.i JOIN documents b ON b.doc_id = p.j""",
+    "template_groups": f"SELECT id, group_id FROM ({groups_sql()})",
+    "template_group_split": f"""
+WITH tg AS ({groups_sql()}),
+gs AS (SELECT DISTINCT group_id FROM tg),
+r AS (SELECT group_id, row_number() OVER (ORDER BY md5(CAST(group_id AS VARCHAR) || ':42'), group_id) AS rn,
+             count(*) OVER () AS G FROM gs)
+SELECT tg.id, tg.group_id, CASE WHEN r.rn <= ceil(r.G * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
+FROM tg JOIN r ON r.group_id = tg.group_id""",
+})
