@@ -437,3 +437,43 @@ QUERIES.update({
     "template_groups": q_template_groups,
     "template_group_split": q_template_group_split,
 })
+
+
+# ---------------------------------------------------------------- streaming twins
+
+from textlens.streaming import jobs as T  # noqa: E402
+
+
+def _scored_doc_stream(spark, sf_dir):
+    schema = docs(spark, sf_dir).schema
+    stream = T.text_stream(spark, sf_dir, schema, file_glob="documents.parquet")
+    scored, labels = centroid_scored(spark, sf_dir)
+    base = scored.select(F.col("vec_id").alias("doc_id"), "label", "probs")
+
+    def scorer(s: DataFrame) -> DataFrame:
+        j = s.select("doc_id", "text").join(base, "doc_id")  # stream-static join
+        out = M.score(j, "text", "probs", labels, EMBED_LEXICON)
+        return out.select("doc_id", F.col("label").cast("string").alias("actual"), "base_category",
+                          "base_confidence", "kw_category", "kw_score", "rule", "category", "confidence",
+                          "method", join_list("matched_keywords").alias("matched_keywords"))
+
+    return stream, scorer
+
+
+def q_stream_scores(spark, sf_dir):
+    stream, scorer = _scored_doc_stream(spark, sf_dir)
+    out = T.score_stream(stream, scorer, spark)
+    return out.select("doc_id", "actual", "base_category", F.round("base_confidence", R).alias("base_confidence"),
+                      "kw_category", "kw_score", "rule", "category", F.round("confidence", R).alias("confidence"),
+                      "method", "matched_keywords")
+
+
+def q_stream_counts(spark, sf_dir):
+    stream, scorer = _scored_doc_stream(spark, sf_dir)
+    return T.running_totals(scorer(stream), spark)
+
+
+QUERIES.update({
+    "stream_scores": q_stream_scores,
+    "stream_counts": q_stream_counts,
+})

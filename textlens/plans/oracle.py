@@ -492,3 +492,11 @@ r AS (SELECT group_id, row_number() OVER (ORDER BY md5(CAST(group_id AS VARCHAR)
 SELECT tg.id, tg.group_id, CASE WHEN r.rn <= ceil(r.G * CAST(0.2 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split
 FROM tg JOIN r ON r.group_id = tg.group_id""",
 })
+
+SQL.update({
+    "stream_scores": SQL["hybrid_predict"],
+    "stream_counts": f"""
+SELECT category, CAST(count(*) AS BIGINT) AS n, round(avg(round(confidence * 100, 2)), 4) AS avg_confidence_pct,
+       round(count(*) FILTER (WHERE contains(method, 'hybrid')) * 100.0 / count(*), 4) AS hybrid_share_pct
+FROM ({HYBRID}) GROUP BY category""",
+})
