@@ -60,3 +60,19 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc.setCheckpointDir(path)
         return sc.getCheckpointDir() or path
     raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/ABFS)")
+
+
+def materialize(df, name: str = "table"):
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Used where one intermediate feeds several branches of a plan: it is computed
+    exactly once, the lineage is cut, and a lost executor re-reads the files
+    instead of recomputing upstream work.  (``Dataset.checkpoint`` would compute
+    the plan twice unless it were also cached.)
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex[:12]}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
