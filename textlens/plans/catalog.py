@@ -477,3 +477,38 @@ QUERIES.update({
     "stream_scores": q_stream_scores,
     "stream_counts": q_stream_counts,
 })
+
+
+# ---------------------------------------------------------------- Spark ML linear models (rows-only checks)
+
+from textlens.functions.text import tokens, unigrams_bigrams  # noqa: E402
+from textlens.operators import models as MD  # noqa: E402
+
+
+def _linear_predict(spark, sf_dir, kind: str) -> DataFrame:
+    d = labelled(spark, sf_dir)
+    s = split_frame(spark, sf_dir).select("id", "split")
+    from textlens.session import materialize
+
+    g = materialize(d.join(s, "id").select("id", "category", "split", tokens(F.col("text")).alias("tk"))
+                    .select("id", "category", "split", unigrams_bigrams("tk").alias("grams")), "ml_grams")
+    model = MD.fit_linear(g.filter(F.col("split") == "train"), kind)
+    out = MD.predict_linear(model, g.filter(F.col("split") == "test"))
+    return out.select("id", F.col("category").alias("actual"), "predicted")
+
+
+def q_lr_predict(spark, sf_dir):
+    return _linear_predict(spark, sf_dir, "lr")
+
+
+def q_svm_predict(spark, sf_dir):
+    return _linear_predict(spark, sf_dir, "svm")
+
+
+QUERIES.update({
+    "lr_predict": q_lr_predict,
+    "svm_predict": q_svm_predict,
+})
+
+# Queries without an exact SQL oracle (iterative solvers): the driver checks rows only.
+ROWS_ONLY = {"lr_predict", "svm_predict"}
