@@ -38,3 +38,13 @@ def test_keyword_scores_rows(spark):
     df = spark.createDataFrame([(1, "red lamp post"), (2, "nothing")], "id long, text string")
     out = K.keyword_scores(df, "id", "text", Lexicon.from_mapping({"A": ["lamp", "lamp post"], "B": ["red"]}))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "A", 3, 2), (1, "B", 1, 1)]
+
+
+def test_join_path_equals_inline_path(spark):
+    from textlens.sources.lexicon import lexicon_frame
+
+    lex = Lexicon.from_mapping({"A": ["lamp", "lamp post", "lamp"], "B": ["red", "red lamp post x"]})
+    df = spark.createDataFrame([(1, "Red  lamp post"), (2, "treatment"), (3, "lamp")], "id long, text string")
+    inline = sorted(tuple(r) for r in K.keyword_scores(df, "id", "text", lex).collect())
+    joined = sorted(tuple(r) for r in K.keyword_scores_join(df, "id", "text", lexicon_frame(spark, lex)).collect())
+    assert inline == joined == [(1, "A", 4, 3), (1, "B", 1, 1), (3, "A", 2, 2)]

@@ -45,3 +45,18 @@ def test_hybrid_ladder(spark):
         r = out[i]
         assert (r["category"], r["method"], r["matched_keywords"]) == (cat, method, matched), inp
         assert r["confidence"] == inp[2]  # always the model's confidence
+
+
+def test_python_scorer_hook(spark):
+    from textlens.operators.scoring import python_scorer, score
+    from textlens.sources.lexicon import Lexicon
+
+    def predict(texts):  # a stand-in foreign model: longer text -> class 1
+        return [[0.9, 0.1] if (t or "") and len(t) < 10 else [0.2, 0.8] for t in texts]
+
+    df = spark.createDataFrame([(1, "short"), (2, "a much longer text"), (3, None)], "id long, text string")
+    probs = python_scorer(df, "text", predict, n_labels=2)
+    out = {r["id"]: r for r in score(probs, "text", "probs", ["neg", "pos"], Lexicon.from_mapping({"neg": ["short"]})).collect()}
+    assert out[1]["category"] == "neg" and out[1]["method"] == "agreement"
+    assert out[2]["category"] == "pos" and out[2]["method"] == "model"
+    assert out[3]["kw_category"] is None and out[3]["category"] == "pos"

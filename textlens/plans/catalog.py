@@ -23,7 +23,7 @@ R = 6  # rounding digits of floating outputs
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents")
+    return read_table(spark, sf_dir, "documents", spread=True)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:

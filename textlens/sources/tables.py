@@ -22,9 +22,22 @@ EVAL_SCHEMA = T.StructType([
 ])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Parquet scan of one driver table; Catalyst prunes columns and pushes filters."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Parquet scan of one driver table; Catalyst prunes columns and pushes filters.
+
+    ``spread``: for tables with heavy per-row work (whole-text regexes, folds),
+    make sure the rows are spread over at least the session's parallelism.  A
+    small file with one row group scans as a single non-empty split, which would
+    leave all per-row work to one task; a round-robin repartition then costs one
+    cheap shuffle.  A large table (many files / row groups) already has more
+    splits than cores and is left as it is, so at scale this adds nothing.
+    """
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    if spread:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() <= want:
+            df = df.repartition(want)
+    return df
 
 
 def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LABELLED_SCHEMA,
