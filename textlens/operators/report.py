@@ -12,12 +12,15 @@ def log_summary(log: DataFrame, hybrid_marker: str = "hybrid") -> DataFrame:
     """A1, A3, A4 in one pass: total, mean of the percent confidences (each already
     rounded to 2 places), and the share of hybrid decisions in percent.  A2 (most
     common category) is ``top_category``."""
-    conf_pct = F.round(F.col("confidence") * 100.0, 2)
+    # Each percent is rounded to 2 places first (as the reference shows them), kept
+    # as an exact integer of 1/100 percent; the mean is one integer ratio, so it
+    # is the same double in any engine (rounding the mean itself can hit exact halves).
+    hundredths = F.round(F.col("confidence") * 10000.0).cast("long")
+    n = F.count(F.lit(1))
     return log.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.round(F.avg(conf_pct), 4).alias("avg_confidence_pct"),
-        F.round(F.avg(F.when(F.contains(F.col("method"), F.lit(hybrid_marker)), 1.0).otherwise(0.0)) * 100, 4)
-        .alias("hybrid_share_pct"))
+        n.alias("total"),
+        (F.sum(hundredths) / (n * 100.0)).alias("avg_confidence_pct"),
+        (F.count_if(F.contains(F.col("method"), F.lit(hybrid_marker))) * 100.0 / n).alias("hybrid_share_pct"))
 
 
 def top_category(log: DataFrame) -> DataFrame:

@@ -417,8 +417,9 @@ SELECT round((max(accuracy) FILTER (WHERE model = 'hybrid') - max(accuracy) FILT
          AS macro_f1_gain FROM t""",
     "hybrid_confusion": confusion_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})"),
     "log_summary": f"""
-SELECT CAST(count(*) AS BIGINT) AS total, round(avg(round(confidence * 100, 2)), 4) AS avg_confidence_pct,
-       round(avg(CASE WHEN contains(method, 'hybrid') THEN 1.0 ELSE 0.0 END) * 100, 4) AS hybrid_share_pct
+SELECT CAST(count(*) AS BIGINT) AS total,
+       CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)) AS avg_confidence_pct,
+       count(*) FILTER (WHERE contains(method, 'hybrid')) * CAST(100 AS DOUBLE) / count(*) AS hybrid_share_pct
 FROM {LOG}""",
     "top_category": f"""
 SELECT category, CAST(count(*) AS BIGINT) AS n FROM {LOG} WHERE category IS NOT NULL
@@ -496,7 +497,8 @@ FROM tg JOIN r ON r.group_id = tg.group_id""",
 SQL.update({
     "stream_scores": SQL["hybrid_predict"],
     "stream_counts": f"""
-SELECT category, CAST(count(*) AS BIGINT) AS n, round(avg(round(confidence * 100, 2)), 4) AS avg_confidence_pct,
-       round(count(*) FILTER (WHERE contains(method, 'hybrid')) * 100.0 / count(*), 4) AS hybrid_share_pct
+SELECT category, CAST(count(*) AS BIGINT) AS n,
+       CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)) AS avg_confidence_pct,
+       count(*) FILTER (WHERE contains(method, 'hybrid')) * CAST(100 AS DOUBLE) / count(*) AS hybrid_share_pct
 FROM ({HYBRID}) GROUP BY category""",
 })

@@ -52,9 +52,9 @@ def running_totals(scored_stream: DataFrame, spark: SparkSession, name: str = "t
                    hybrid_marker: str = "hybrid") -> DataFrame:
     """Per-category count, mean percent confidence and hybrid share, kept as
     streaming state (one row per category) and written in complete mode."""
-    conf_pct = F.round(F.col("confidence") * 100.0, 2)
+    hundredths = F.round(F.col("confidence") * 10000.0).cast("long")  # percent to 2 places, exact
     agg = (scored_stream.groupBy("category")
-           .agg(F.count(F.lit(1)).alias("n"), F.sum(conf_pct).alias("_conf_sum"),
+           .agg(F.count(F.lit(1)).alias("n"), F.sum(hundredths).alias("_conf_sum"),
                 F.count_if(F.contains(F.col("method"), F.lit(hybrid_marker))).alias("_hybrid")))
     out, ckpt = _paths(spark, name)
     table = f"textlens_{name}_{uuid.uuid4().hex[:8]}"
@@ -69,5 +69,5 @@ def running_totals(scored_stream: DataFrame, spark: SparkSession, name: str = "t
     if q.exception():
         raise q.exception()
     res = spark.read.parquet(out)
-    return res.select("category", "n", F.round(F.col("_conf_sum") / F.col("n"), 4).alias("avg_confidence_pct"),
-                      F.round(F.col("_hybrid") * 100.0 / F.col("n"), 4).alias("hybrid_share_pct"))
+    return res.select("category", "n", (F.col("_conf_sum") / (F.col("n") * 100.0)).alias("avg_confidence_pct"),
+                      (F.col("_hybrid") * 100.0 / F.col("n")).alias("hybrid_share_pct"))
