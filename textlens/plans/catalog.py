@@ -512,3 +512,41 @@ QUERIES.update({
 
 # Queries without an exact SQL oracle (iterative solvers): the driver checks rows only.
 ROWS_ONLY = {"lr_predict", "svm_predict"}
+
+
+# ---------------------------------------------------------------- shape, text flags, head, error totals
+
+from textlens.functions.text import has_char_range, has_damage, is_blank  # noqa: E402
+
+
+def q_table_shape(spark, sf_dir):
+    """Rows, columns and non-null counts of the labelled table."""
+    return P.shape(labelled(spark, sf_dir))
+
+
+def q_text_flags(spark, sf_dir):
+    """F5-F7 + P5 in one pass: rows with Devanagari, with the damage marker, blank, distinct texts."""
+    d = labelled(spark, sf_dir)
+    return d.agg(F.count_if(has_char_range("text", 0x0900, 0x097F)).alias("n_devanagari"),
+                 F.count_if(has_damage("text")).alias("n_damaged"),
+                 F.count_if(is_blank("text")).alias("n_blank"),
+                 F.count_distinct("text").alias("distinct_texts"))
+
+
+def q_head(spark, sf_dir):
+    """First 5 rows in id order with a short preview (the limit is the feature)."""
+    from textlens.operators.report import head
+    return head(labelled(spark, sf_dir), 5, "id").select("id", "category", preview("text").alias("preview"))
+
+
+def q_error_totals(spark, sf_dir):
+    """E5 totals for the keyword classifier."""
+    return E.error_totals(keyword_predictions(spark, sf_dir), "category", "kw_category")
+
+
+QUERIES.update({
+    "table_shape": q_table_shape,
+    "text_flags": q_text_flags,
+    "head": q_head,
+    "error_totals": q_error_totals,
+})

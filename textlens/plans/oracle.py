@@ -502,3 +502,22 @@ SELECT category, CAST(count(*) AS BIGINT) AS n,
        count(*) FILTER (WHERE contains(method, 'hybrid')) * CAST(100 AS DOUBLE) / count(*) AS hybrid_share_pct
 FROM ({HYBRID}) GROUP BY category""",
 })
+
+SQL.update({
+    "table_shape": f"""
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(id) AS BIGINT) AS nonnull_id,
+       CAST(count(text) AS BIGINT) AS nonnull_text, CAST(count(category) AS BIGINT) AS nonnull_category,
+       CAST(3 AS INTEGER) AS n_cols FROM {LABELLED}""",
+    "text_flags": f"""
+SELECT CAST(count(*) FILTER (WHERE regexp_matches(text, '[\\x{{0900}}-\\x{{097F}}]')) AS BIGINT) AS n_devanagari,
+       CAST(count(*) FILTER (WHERE contains(text, '?')) AS BIGINT) AS n_damaged,
+       CAST(count(*) FILTER (WHERE text IS NULL OR {clean_sql('text')} = '') AS BIGINT) AS n_blank,
+       CAST(count(DISTINCT text) AS BIGINT) AS distinct_texts FROM {LABELLED}""",
+    "head": f"""
+SELECT id, category, CASE WHEN length(text) > 28 THEN substr(text, 1, 28) || '…' ELSE text END AS preview
+FROM {LABELLED} ORDER BY id LIMIT 5""",
+    "error_totals": f"""
+SELECT CAST(count(*) FILTER (WHERE kw_category IS NOT DISTINCT FROM category) AS BIGINT) AS correct,
+       CAST(count(*) FILTER (WHERE kw_category IS DISTINCT FROM category) AS BIGINT) AS wrong
+FROM ({keyword_best_sql(LANG_LEXICON)})""",
+})
