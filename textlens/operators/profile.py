@@ -34,22 +34,23 @@ def null_counts(df: DataFrame) -> DataFrame:
 def duplicate_counts(df: DataFrame, text_col: str, label_col: str) -> DataFrame:
     """P3/P4/P5 in long form (metric, value): rows, duplicate rows (every copy after the
     first, nulls equal), duplicate texts, duplicate (text, label) pairs, distinct texts.
-    Each is a map-side-combined aggregate over the same scan with one output row.
+
+    One scan and one chain of aggregates from the finest key to the coarsest
+    (all columns -> (text, label) -> text -> total), each partial per map task.
+    Texts are keyed by their SHA-256 (32 bytes) rather than shuffled whole.
     """
-    rows = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("c"))
-            .agg(F.sum("c").alias("n_rows"), F.sum(F.col("c") - 1).alias("dup_rows")))
-    texts = (df.groupBy(text_col).agg(F.count(F.lit(1)).alias("c"))
-             .agg(F.sum(F.col("c") - 1).alias("dup_texts"),
-                  F.count_if(F.col(text_col).isNotNull()).alias("distinct_texts")))
-    pairs = (df.groupBy(text_col, label_col).agg(F.count(F.lit(1)).alias("c"))
-             .agg(F.sum(F.col("c") - 1).alias("dup_text_label")))
-
-    def longform(one_row: DataFrame) -> DataFrame:
-        cols = one_row.columns
-        pairs_sql = ", ".join(f"'{c}', cast(coalesce({c}, 0) as bigint)" for c in cols)
-        return one_row.selectExpr(f"stack({len(cols)}, {pairs_sql}) as (metric, value)")
-
-    return longform(rows).unionByName(longform(texts)).unionByName(longform(pairs))
+    others = [c for c in df.columns if c not in (text_col, label_col)]
+    h = F.sha2(F.col(text_col), 256).alias("_h")
+    rows = df.groupBy(h, F.col(label_col), *others).agg(F.count(F.lit(1)).alias("c1"))
+    pairs = rows.groupBy("_h", label_col).agg(F.sum("c1").alias("c2"), F.sum(F.col("c1") - 1).alias("d_rows"))
+    texts = pairs.groupBy("_h").agg(F.sum("c2").alias("c3"), F.sum("d_rows").alias("d_rows"),
+                                    F.sum(F.col("c2") - 1).alias("d_tl"))
+    total = texts.agg(F.sum("c3").alias("n_rows"), F.sum("d_rows").alias("dup_rows"),
+                      F.sum(F.col("c3") - 1).alias("dup_texts"), F.sum("d_tl").alias("dup_text_label"),
+                      F.count_if(F.col("_h").isNotNull()).alias("distinct_texts"))
+    cols = ["n_rows", "dup_rows", "dup_texts", "distinct_texts", "dup_text_label"]
+    pairs_sql = ", ".join(f"'{c}', cast(coalesce({c}, 0) as bigint)" for c in cols)
+    return total.selectExpr(f"stack({len(cols)}, {pairs_sql}) as (metric, value)")
 
 
 def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
