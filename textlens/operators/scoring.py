@@ -49,13 +49,15 @@ class CentroidModel:
     def fit(cls, df: DataFrame, vec_col: str, label_col: str) -> "CentroidModel":
         per = (df.select(F.col(label_col).alias("label"), F.posexplode(vec_col).alias("pos", "x"))
                .groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m")))
-        size = per.count()
-        if size > MAX_MODEL_VALUES:
-            raise ValueError(f"centroid model has {size} values > {MAX_MODEL_VALUES}")
-        rows = (per.groupBy("label")
-                .agg(F.array_sort(F.collect_list(F.struct("pos", "m"))).alias("v"))
-                .orderBy("label").collect())
-        return cls([r["label"] for r in rows], [[float(e["m"]) for e in r["v"]] for r in rows])
+        # one job: fetch at most MAX_MODEL_VALUES + 1 values, refuse if the limit is hit
+        flat = per.orderBy("label", "pos").limit(MAX_MODEL_VALUES + 1).collect()
+        if len(flat) > MAX_MODEL_VALUES:
+            raise ValueError(f"centroid model has more than {MAX_MODEL_VALUES} values")
+        by_label: dict = {}
+        for r in flat:
+            by_label.setdefault(r["label"], []).append(float(r["m"]))
+        rows = [{"label": k, "v": v} for k, v in sorted(by_label.items())]
+        return cls([r["label"] for r in rows], [r["v"] for r in rows])
 
     def logits(self, vec_col: str) -> Column:
         x = F.col(vec_col)
