@@ -60,7 +60,11 @@ def distinct_count(df: DataFrame, col: str, approx: bool = False) -> DataFrame:
 
 
 def distribution(df: DataFrame, col: str, out_col: str | None = None) -> DataFrame:
-    """Value counts (nulls dropped) with share of the non-null total."""
+    """Value counts (nulls dropped) with share of the non-null total.
+
+    Meant for label-like columns (categories, scripts, methods): the share uses a
+    window over the counts table, one row per distinct value.
+    """
     name = out_col or col
     counts = (df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias(name))
               .agg(F.count(F.lit(1)).alias("n")))
