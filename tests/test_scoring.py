@@ -1,6 +1,6 @@
 import math
 
-from hypothesis import given, settings
+from hypothesis import assume, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -22,6 +22,9 @@ def test_softmax_sums_to_one(spark, logits):
     df = spark.createDataFrame([(logits,)], "l array<double>")
     s = df.select(softmax("l", 0.5).alias("s")).first()["s"]
     assert math.isclose(sum(s), 1.0, rel_tol=1e-9)
+    top = sorted(logits, reverse=True)
+    # the arg-max is preserved when the best logit is separated by more than rounding noise
+    assume(len(top) == 1 or top[0] - top[1] > 1e-6)
     assert s.index(max(s)) == logits.index(max(logits))
 
 
