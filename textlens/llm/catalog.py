@@ -21,4 +21,26 @@ def op6_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_secret_scan)}
+def op8_extendible_sharding(spark, sf_dir):
+    """Shard of every document."""
+    from textlens.llm import sharding
+    return sharding.assign(table(spark, sf_dir, "documents")).drop("h")
+
+
+def op9_decontamination(spark, sf_dir):
+    """One row per document and benchmark item that it leaks."""
+    from textlens.llm import decontaminate as D
+    return D.contaminated(D.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op10_chat_format(spark, sf_dir):
+    """Digest of all formatted conversations and of one that holds control strings."""
+    from textlens.llm import chat_format as C
+    probe = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], rows.schema)
+    return C.digest(C.format_conversations(rows.unionByName(more)))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_secret_scan, op8_extendible_sharding, op9_decontamination,
+                                   op10_chat_format)}

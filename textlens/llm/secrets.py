@@ -87,7 +87,7 @@ def pair_weights(labelled: DataFrame) -> list[float]:
 
 def is_random(token: Column, weights: list[float]) -> Column:
     """Whether the chains call a token random."""
-    w, n = F.lit(weights), len(ALPHABET)
+    w, n = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>"), len(ALPHABET)
     place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
     total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
                         lambda a, i: a + F.get(w, (place(i) - 1) * F.lit(n) + place(i + F.lit(1)) - 1))
