@@ -42,5 +42,13 @@ def op10_chat_format(spark, sf_dir):
     return C.digest(C.format_conversations(rows.unionByName(more)))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_secret_scan, op8_extendible_sharding, op9_decontamination,
-                                   op10_chat_format)}
+def op5_best_fit_packing(spark, sf_dir):
+    """Every piece of every document with its place in a training sequence."""
+    import public_tokenizers
+    from textlens.llm import packing
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                  public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_extendible_sharding,
+                                   op9_decontamination, op10_chat_format)}
