@@ -7,6 +7,15 @@ from pyspark.sql import functions as F
 from textlens.llm.common import table
 
 
+def op1_url_filter(spark, sf_dir):
+    """Verdict of every page's URL."""
+    from textlens.llm import url_filter as U
+    rules = [U.Rule("net", "/", "block"), U.Rule("example.net", "/en/", "allow"),
+             U.Rule("example.com", "/de/", "block"), U.Rule("org", "/fr/", "allow")]
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return U.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict", "judged")
+
+
 def op3_quality_rules(spark, sf_dir):
     """Ledger of every document and the current policy's verdict."""
     from textlens.llm import quality_rules as Q
@@ -42,6 +51,16 @@ def op10_chat_format(spark, sf_dir):
     return C.digest(C.format_conversations(rows.unionByName(more)))
 
 
+def op4_toxicity(spark, sf_dir):
+    """Toxicity of every document, learned outside the held-out fold."""
+    from textlens.llm import toxicity as X
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~X.held_out())
+    s = X.score(docs, X.fit(docs, labels))
+    return s.select("doc_id", X.held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                    F.size("passages").cast("long").alias("n_passages"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     """Every piece of every document with its place in a training sequence."""
     import public_tokenizers
@@ -50,5 +69,5 @@ def op5_best_fit_packing(spark, sf_dir):
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op5_best_fit_packing, op6_secret_scan, op8_extendible_sharding,
-                                   op9_decontamination, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_secret_scan,
+                                   op8_extendible_sharding, op9_decontamination, op10_chat_format)}
