@@ -16,6 +16,12 @@ def op1_url_filter(spark, sf_dir):
     return U.judge(pages, rules).select("page_id", "host", "path", "rule", "verdict", "judged")
 
 
+def op2_pii(spark, sf_dir):
+    """Personal data of every document."""
+    from textlens.llm import pii
+    return pii.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_quality_rules(spark, sf_dir):
     """Ledger of every document and the current policy's verdict."""
     from textlens.llm import quality_rules as Q
@@ -69,5 +75,5 @@ def op5_best_fit_packing(spark, sf_dir):
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_secret_scan,
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_secret_scan,
                                    op8_extendible_sharding, op9_decontamination, op10_chat_format)}

@@ -31,7 +31,7 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
-def matches(text: Column, pattern: str, gate: Column | None = None,
+def matches(text: Column, pattern: str | Column, gate: Column | None = None,
             keep: Callable[[Column], Column] | None = None) -> Column:
     """Leftmost non-overlapping matches with positions, as array<struct<start,end,hit>>.
 
@@ -52,13 +52,29 @@ def matches(text: Column, pattern: str, gate: Column | None = None,
 
         return F.aggregate(parts, zero, step, lambda acc: acc["out"])
 
-    found = let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    found = let(F.regexp_extract_all(text, pattern, F.lit(0)), place)
     if keep is not None:
         found = F.filter(found, lambda s: keep(s["hit"]))
-    test = text.rlike(pattern) if gate is None else gate & text.rlike(pattern)
+    test = F.rlike(text, pattern) if gate is None else gate & F.rlike(text, pattern)
     return F.when(test, found).otherwise(F.array().cast(SPAN))
 
 
-def span_strings(spans: Column, kind: str) -> Column:
-    """``kind:start:end`` for every span."""
-    return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
+def replace_spans(text: Column, spans: Column) -> Column:
+    """``text`` with every span (start, end, mark; sorted by start) replaced by its mark.
+
+    A span that begins inside an earlier one adds no mark, but its own end still counts.
+    """
+    def cut(acc, s):
+        before = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["mark"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"),
+                        F.when(s["start"] >= acc["at"], before).otherwise(acc["out"]).alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    return F.aggregate(spans, zero, cut, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+
+
+def joined_spans(spans: Column) -> Column:
+    """``kind:start:end``, comma-joined."""
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
+        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

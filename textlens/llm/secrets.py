@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlens.llm.common import matches
+from textlens.llm.common import joined_spans, matches, replace_spans
 
 KINDS = ["assign", "access", "hex", "markov"]
 ASSIGN = (r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?"
@@ -117,11 +117,6 @@ def all_spans(kinds=KINDS) -> Column:
     return F.sort_array(F.concat(*[placed(i, k) for i, k in enumerate(kinds)]))
 
 
-def joined(spans: Column) -> Column:
-    return F.array_join(F.transform(spans, lambda s: F.concat_ws(
-        ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
 def redact(docs: DataFrame, weights: list[float] | None = None, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every secret replaced by ``mark``; overlapping spans become one mark.
 
@@ -130,23 +125,15 @@ def redact(docs: DataFrame, weights: list[float] | None = None, mark: str = "[SE
     names = docs.columns
     d = scan(docs.withColumn("_was", F.col("text")), weights).withColumn("_spans", all_spans())
 
-    def cut(acc, s):
-        """Copy up to the span, write a mark unless the span continues the last one."""
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
-                     ).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    text = F.aggregate("_spans", start, cut, lambda a: F.concat(
-        a["out"], F.substring(F.col("text"), a["at"] + 1, F.length("text"))))
+    marked = F.transform("_spans", lambda s: F.struct(s["start"], s["end"], F.lit(mark).alias("mark")))
+    text = replace_spans(F.col("text"), marked)
     return d.withColumn("text", F.when(F.size("_spans") > 0, text).otherwise(F.col("_was"))).select(*names)
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The result columns of query op6."""
     d = scan(docs).select("doc_id", *KINDS)
-    base = joined(all_spans(KINDS[:3]))
+    base = joined_spans(all_spans(KINDS[:3]))
     return d.select("doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]],
-                    F.sha2(base, 256).alias("base_sha256"), joined(all_spans()).alias("spans"),
+                    F.sha2(base, 256).alias("base_sha256"), joined_spans(all_spans()).alias("spans"),
                     F.size("markov").cast("long").alias("n_markov"))
