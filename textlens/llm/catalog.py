@@ -36,6 +36,12 @@ def op6_secret_scan(spark, sf_dir):
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard(spark, sf_dir):
+    """Near-duplicate component of every document."""
+    from textlens.llm import ngram_join
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_extendible_sharding(spark, sf_dir):
     """Shard of every document."""
     from textlens.llm import sharding
@@ -75,5 +81,6 @@ def op5_best_fit_packing(spark, sf_dir):
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_pii, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_secret_scan,
-                                   op8_extendible_sharding, op9_decontamination, op10_chat_format)}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filter, op2_pii, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_secret_scan, op7_ngram_jaccard,
+    op8_extendible_sharding, op9_decontamination, op10_chat_format)}
