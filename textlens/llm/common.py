@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` as it is, computed once per row before anything that follows.
+
+    Catalyst pushes a filter on computed columns below their projection and substitutes
+    their expressions, also inside lambdas, where they would run once per array element.
+    A filter on a generator's output stays above it.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null and blank texts."""
     bare = F.trim(text, F.lit(SPACES))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textlens.llm.common import joined_spans, matches, replace_spans
+from textlens.llm.common import joined_spans, matches, replace_spans, settled
 from textlens.session import materialize
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -103,7 +103,7 @@ def disclosures(docs: DataFrame) -> DataFrame:
     """(term, disclosure) of the terms that disclose some entity at GENERALISE or above."""
     text = F.coalesce(F.col("text"), F.lit(""))
     d = docs.select(F.monotonically_increasing_id().alias("row"), text.alias("text"))
-    found = d.withColumns(base_spans(F.col("text"))).select("row", "text", _entities().alias("entities"))
+    found = settled(d.withColumns(base_spans(F.col("text"))).select("row", "text", _entities().alias("entities")))
     hits = materialize(found.filter(F.size("entities") > 0).withColumn("copy", F.xxhash64("text")), "pii_hits")
     mentions = hits.select("row", "copy", F.explode("entities").alias("e")).select("row", "copy", "e.value", "e.ctx")
     entities = materialize(_several(mentions, ["value"]).withColumnRenamed("n", "n_c"), "pii_entities")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textlens.functions.arrays import let
-from textlens.llm.common import SPACES, words
+from textlens.llm.common import SPACES, settled, words
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_digits"]
 
@@ -114,5 +114,5 @@ def kept_documents(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     The ledger is evaluated beside each row (no join), so repeated and null ids are safe.
     """
     whole = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
-    led = ledger(whole, "row", "text")
-    return apply_policy(led, version).filter("kept").select("doc_id.*")
+    led = settled(apply_policy(ledger(whole, "row", "text"), version).select("doc_id", "kept"))
+    return led.filter("kept").select("doc_id.*")
