@@ -41,10 +41,11 @@ from textlens.session import materialize
 
 N = 5
 PERCENT = 80
-HEAD = 0.05           # length of a head beyond the 20 % that the lemma needs, as a share of the set
+HEAD = 0.04           # length of a head beyond the 20 % that the lemma needs, as a share of the set
 BITS = 2048           # bitmap of a set in the tree
 LEAF, FAN = 16, 8     # sets in a leaf node, children of an inner node
 GROUP = 2_000         # sets of one key in one task
+HOOKS = 2             # rounds of one pair per key and component before all pairs
 SHIP = 1_000_000      # surviving set ids that travel with the second Arrow pass
 CHUNK = 1 << 20       # bytes hashed at a time
 
@@ -219,7 +220,9 @@ def _shared(postings: DataFrame) -> DataFrame:
 
 def candidates(sets: DataFrame) -> DataFrame:
     """(sid) of the sets whose head shares enough tokens with other sets."""
-    heads = sets.filter("n > 0").select("sid", F.explode("head").alias("token"))
+    # 40 bits of a hash: a collision can only keep a set that would have left.
+    heads = sets.filter("n > 0").select("sid", F.explode("head").alias("token")).withColumn(
+        "token", F.col("token").bitwiseAND(F.lit((1 << 40) - 1)))
     common = heads.join(_shared(heads).select("token"), "token").distinct().groupBy("sid").agg(F.count(F.lit(1)).alias("c"))
     sizes = sets.filter("n > 0").groupBy("sid").agg(F.first("n").alias("n"))
     # A partner has at least 80 % of the size, and both heads share what the shorter one guarantees.
@@ -256,61 +259,75 @@ def leader_pairs(k: DataFrame, pick) -> DataFrame:
 
 
 class Tree:
-    """Signature tree over sets of one key: arrays per level, leaves first."""
+    """Signature tree over sets of one key: arrays per level, leaves first, sets of one component together."""
 
-    def __init__(self, n, bits):
+    def __init__(self, n, bits, comp):
         import numpy as np
 
-        self.order = np.lexsort((bits[:, 0], bits.sum(1) if bits.dtype != np.uint64 else np.bitwise_count(bits).sum(1), n))
-        self.n, self.bits = n[self.order], bits[self.order]
-        self.count = np.bitwise_count(self.bits).sum(1).astype("int64")
-        self.levels = [(self.n, self.n, self.count, self.bits)]
+        count = np.bitwise_count(bits).sum(1).astype("int64")
+        self.order = np.lexsort((count, n, comp))
+        n, bits, comp, count = n[self.order], bits[self.order], comp[self.order], count[self.order]
+        # Per level: least and largest size, least bit count, OR of the bitmaps, least and largest component.
+        self.levels = [(n, n, count, bits, comp, comp)]
         size = LEAF
         while len(self.levels[-1][0]) > 1:
-            low, high, count, own = self.levels[-1]
+            low, high, count, bits, first, last = self.levels[-1]
             cut = np.arange(0, len(low), size)
-            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut),
-                                np.minimum.reduceat(count, cut), np.bitwise_or.reduceat(own, cut, axis=0)))
+            self.levels.append((np.minimum.reduceat(low, cut), np.maximum.reduceat(high, cut), np.minimum.reduceat(count, cut),
+                                np.bitwise_or.reduceat(bits, cut, axis=0), np.minimum.reduceat(first, cut), np.maximum.reduceat(last, cut)))
             size = FAN
 
     def _possible(self, level: int, i, j):
-        """Which of the node pairs (i, j) of a level may hold a link."""
+        """Positions among the node pairs (i, j) of a level that may hold a link between two components."""
         import numpy as np
 
-        low, high, count, bits = (x for x in self.levels[level])
-        common = np.bitwise_count(bits[i] & bits[j]).sum(1).astype("int64")
+        low, high, count, bits, first, last = self.levels[level]
         ok = (100 * high[i] >= PERCENT * low[j]) & (100 * high[j] >= PERCENT * low[i])
+        ok &= ~((first[i] == last[i]) & (first[j] == last[j]) & (first[i] == first[j]))
+        at = np.flatnonzero(ok)
+        i, j = i[at], j[at]
+        common = np.bitwise_count(bits[i] & bits[j]).sum(1).astype("int64")
         # At least count - common bits of a set lie outside the other node: as many shingles differ.
+        far = np.zeros(len(at), bool)
         for x in (i, j):
-            ok &= 100 * (count[x] - common) <= (100 - PERCENT) * high[x]
-        return ok
+            far |= 100 * (count[x] - common) > (100 - PERCENT) * high[x]
+        return at[~far]
 
-    def pairs(self, group):
-        """Pairs (positions in the input) that may link and are of different ``group``."""
+    def pairs(self):
+        """Pairs of positions in the input that may link and are of different components."""
         import numpy as np
 
-        top = len(self.levels) - 1
         i = j = np.zeros(1, "int64")
-        for level in range(top, -1, -1):
+        for level in range(len(self.levels) - 1, 0, -1):
             ok = self._possible(level, i, j)
             i, j = i[ok], j[ok]
-            if level == 0:
-                break
             fan = LEAF if level == 1 else FAN
             below = len(self.levels[level - 1][0])
             a = np.repeat(i, fan * fan) * fan + np.tile(np.repeat(np.arange(fan), fan), len(i))
             b = np.repeat(j, fan * fan) * fan + np.tile(np.tile(np.arange(fan), fan), len(j))
             ok = (a < below) & (b < below) & ((a <= b) if level > 1 else (a < b))
             i, j = a[ok], b[ok]
-        if top == 0:
+        if len(self.levels) == 1:
             return np.empty(0, "int64"), np.empty(0, "int64")
-        i, j = self.order[i], self.order[j]
-        ok = group[i] != group[j]
-        return i[ok], j[ok]
+        ok = self._possible(0, i, j)
+        return self.order[i[ok]], self.order[j[ok]]
+
+
+def hooks(i, j, comp):
+    """Of the pairs (i, j), one for each component that has a smaller neighbour: with the smallest."""
+    import numpy as np
+
+    up = comp[i] > comp[j]
+    x, y = np.where(up, i, j), np.where(up, j, i)
+    by = np.lexsort((comp[y], comp[x]))
+    x, y = x[by], y[by]
+    _, first = np.unique(comp[x], return_index=True)
+    return x[first], y[first]
 
 
-def tree_pairs(members: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) that the trees of all keys leave; ``members`` has token, sid, n, comp, bits.
+def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
+    """Distinct pairs (a, b) that the trees of all keys leave, or (``every`` false) per key one for
+    each component; ``members`` has token, sid, n, comp, bits.
 
     Rows of a key lie together (repartitioned and sorted by key); one key's rows in one
     task are bounded by the dealing in ``links``.
@@ -321,7 +338,9 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
         def flush(rows):
             sid, n, comp, bits = (np.concatenate(c) for c in zip(*rows))
-            i, j = Tree(n, bits).pairs(comp)
+            i, j = Tree(n, bits, comp).pairs()
+            if not every:
+                i, j = hooks(i, j, comp)
             return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
 
         def emit(parts):
@@ -331,8 +350,7 @@ def tree_pairs(members: DataFrame) -> DataFrame:
 
         open_key, rows = None, []
         for batch in batches:
-            key = np.array(batch.column(0).to_pylist(), dtype=object) if not pa.types.is_integer(batch.column(0).type) else batch.column(0).to_numpy()
-            sid, n, comp = (batch.column(c).to_numpy() for c in (1, 2, 3))
+            key, sid, n, comp = (batch.column(c).to_numpy() for c in range(4))
             bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), "uint64").reshape(-1, BITS // 64)
             cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             parts = []
@@ -357,29 +375,38 @@ def _components(full: DataFrame, links: DataFrame) -> DataFrame:
         F.col("id").alias("sid"), F.col("group_id").alias("comp")), "ngram_components")
 
 
-def links(full: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(verified links (a, b), components (sid, comp)) of the sets ``full``; the links span
-    every component, and hold every link between sets that step 4 left in different ones."""
-    k = materialize(keys(full), "ngram_keys")
-    found = materialize(verified(leader_pairs(k, F.min).unionByName(leader_pairs(k, F.max)).select(
-        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full), "ngram_links")
-    comp = _components(full, found)
+def _members(k: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
+    """The sets under keys that hold more than one component, each key's sets side by side.
+
+    A key of more than GROUP sets is dealt as pairs of blocks of about GROUP sets.
+    """
     c = k.join(comp, "sid")
-    # Every step is by key: the size decides into how many blocks a key's sets are dealt.
     mixed = c.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
-    blocks = F.ceil(F.col("size") / GROUP).cast("int")
-    m = c.join(mixed.select("token", blocks.alias("blocks")), "token")
+    m = c.join(mixed.select("token", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks")), "token")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    m = m.select("token", "sid", "comp", own.alias("own"), other)
+    m = m.select("token", "sid", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
     m = m.select(key.alias("token"), "sid", "comp").join(full.select("sid", "n", "bits"), "sid")
-    m = m.repartition("token").sortWithinPartitions("token")
-    more = materialize(verified(tree_pairs(m), full), "ngram_links")
-    if more.isEmpty():
-        return found, comp
-    both = found.unionByName(more)
-    return both, _components(full, both)
+    return m.repartition("token").sortWithinPartitions("token")
+
+
+def links(full: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(verified links (a, b), components (sid, comp)) of the sets ``full``.
+
+    The links span every component.  First the leaders', then ``HOOKS`` rounds of one tree
+    pair per key and component, which join what belongs together; the last round verifies
+    every pair that the trees still leave between different components.
+    """
+    k = materialize(keys(full), "ngram_keys")
+    found = materialize(verified(leader_pairs(k, F.min).unionByName(leader_pairs(k, F.max)).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full), "ngram_links")
+    comp = _components(full, found)
+    for i in range(HOOKS + 1):
+        more = materialize(verified(tree_pairs(_members(k, comp, full), every=i == HOOKS), full), "ngram_links")
+        if not more.isEmpty():
+            found = found.unionByName(more)
+            comp = _components(full, found)
+    return found, comp
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

