@@ -38,3 +38,9 @@ def test_user_csv_text_column_and_sinks(spark):
     assert read_log(spark, log).count() == 4
     truncate_log(spark, log)
     assert read_log(spark, log).count() == 0
+
+
+def test_user_csv_keeps_bad_rows(spark, tmp_path):
+    (tmp_path / "u.csv").write_text("id,text\n1,fine\n2,too,many,cells\n3\n", encoding="utf-8")
+    rows = {r["id"]: r["_corrupt_record"] for r in read_user_csv(spark, str(tmp_path / "u.csv")).collect()}
+    assert rows["1"] is None and rows["2"] == "2,too,many,cells" and rows["3"] == "3"

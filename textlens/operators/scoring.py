@@ -28,6 +28,10 @@ METHOD_MODEL = "model"
 METHOD_AGREEMENT = "agreement"
 METHOD_STRONG = "hybrid_strong"
 METHOD_ASSISTED = "hybrid_assisted"
+# Rows that carry no base probabilities: keywords alone decide, or nothing does.
+METHOD_KEYWORD = "keyword_only"
+METHOD_NONE = "none"
+UNCLASSIFIED = "unclassified"
 
 # Largest class-centroid model (classes x dims values) carried inline in a plan.
 MAX_MODEL_VALUES = 1_000_000
@@ -69,11 +73,12 @@ class CentroidModel:
 
 
 def with_prediction(df: DataFrame, prob_col: str, labels: list, prefix: str = "base_") -> DataFrame:
-    """M2: arg-max (lowest label id on ties) decoded through the label list, and its probability."""
+    """M2: arg-max (lowest label id on ties) decoded through the label list, and its probability; null without probabilities."""
     lab = F.array(*[F.lit(str(x)) for x in labels])
     idx = argmax(F.col(prob_col))
-    return (df.withColumn(f"{prefix}label_id", idx)
-            .withColumn(f"{prefix}category", F.element_at(lab, idx + 1))
+    known = F.col(prob_col).isNotNull()  # element_at over literals is typed as never null
+    return (df.withColumn(f"{prefix}label_id", F.when(known, idx))
+            .withColumn(f"{prefix}category", F.when(known, F.element_at(lab, idx + 1)))
             .withColumn(f"{prefix}confidence", F.array_max(F.col(prob_col))))
 
 
@@ -90,22 +95,28 @@ def hybrid_decision(df: DataFrame, base_cat: str = "base_category", base_conf: s
                     kw_cat: str = "kw_category", kw_score: str = "kw_score", kw_matches: str = "kw_matches",
                     strong_score: int = STRONG_SCORE, strong_conf: float = STRONG_CONF,
                     assisted_score: int = ASSISTED_SCORE, assisted_conf: float = ASSISTED_CONF) -> DataFrame:
-    """M4: the five-rung ladder, first match wins; confidence is always the model's."""
+    """M4: the five-rung ladder, first match wins; confidence is always the model's.
+
+    A row without a base category still gets a result: its keywords' category (rung 6) or
+    ``UNCLASSIFIED`` (rung 7), with confidence 0.
+    """
     kc, ks, conf, bc = F.col(kw_cat), F.col(kw_score), F.col(base_conf), F.col(base_cat)
     empty = F.array().cast("array<string>")
-    rung = (F.when(kc.isNull(), F.lit(1))
+    rung = (F.when(bc.isNull(), F.when(kc.isNull(), F.lit(7)).otherwise(F.lit(6)))
+            .when(kc.isNull(), F.lit(1))
             .when(kc == bc, F.lit(2))
             .when((ks >= strong_score) & (conf < strong_conf), F.lit(3))
             .when((ks >= assisted_score) & (conf < assisted_conf), F.lit(4))
             .otherwise(F.lit(5)))
-    kw_wins = rung.isin(3, 4)
-    method = (F.when(rung == 2, F.lit(METHOD_AGREEMENT)).when(rung == 3, F.lit(METHOD_STRONG))
+    kw_wins = rung.isin(3, 4, 6)
+    method = (F.when(rung == 6, F.lit(METHOD_KEYWORD)).when(rung == 7, F.lit(METHOD_NONE))
+              .when(rung == 2, F.lit(METHOD_AGREEMENT)).when(rung == 3, F.lit(METHOD_STRONG))
               .when(rung == 4, F.lit(METHOD_ASSISTED)).otherwise(F.lit(METHOD_MODEL)))
     return (df.withColumn("rule", rung)
-            .withColumn("category", F.when(kw_wins, kc).otherwise(bc))
-            .withColumn("confidence", conf)
+            .withColumn("category", F.when(kw_wins, kc).when(rung == 7, F.lit(UNCLASSIFIED)).otherwise(bc))
+            .withColumn("confidence", F.coalesce(conf, F.lit(0.0)))
             .withColumn("method", method)
-            .withColumn("matched_keywords", F.when(rung.isin(2, 3, 4), F.col(kw_matches)).otherwise(empty)))
+            .withColumn("matched_keywords", F.when(rung.isin(2, 3, 4, 6), F.col(kw_matches)).otherwise(empty)))
 
 
 def score(df: DataFrame, text_col: str, prob_col: str, labels: list, lexicon: Lexicon, **ladder) -> DataFrame:

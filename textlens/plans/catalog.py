@@ -23,7 +23,8 @@ R = 6  # rounding digits of floating outputs
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", spread=True)
+    hint = spark.conf.get("textlens.scan.partitions", None)
+    return read_table(spark, sf_dir, "documents", int(hint) if hint else None)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -278,10 +279,10 @@ def centroid_scored(spark, sf_dir) -> tuple[DataFrame, list[str]]:
 
 
 def hybrid_scored(spark, sf_dir) -> DataFrame:
-    """M5: documents that have an embedding, scored by base model + keyword ladder (whole texts)."""
+    """M5: every document, scored by base model (where it has an embedding) and keyword ladder (whole texts)."""
     scored, labels = centroid_scored(spark, sf_dir)
     d = docs(spark, sf_dir).select("doc_id", "text")
-    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "label", "probs"), "doc_id")
+    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "label", "probs"), "doc_id", "left")
     return M.score(j, "text", "probs", labels, EMBED_LEXICON)
 
 
@@ -313,16 +314,23 @@ def q_keyword_v1_decision(spark, sf_dir):
     """K4+K5 on the hybrid task: any first-generation hit overrides the base model."""
     scored, labels = centroid_scored(spark, sf_dir)
     d = docs(spark, sf_dir).select("doc_id", "text")
-    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "probs"), "doc_id")
+    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "probs"), "doc_id", "left")
     j = M.with_prediction(j, "probs", labels)
     j = K.with_first_generation(j, "text", EMBED_LEXICON)
     out = K.first_generation_decision(j, "base_category", "base_confidence")
-    return out.select("doc_id", "kw1_category", "kw1_score", "category",
-                      F.round("confidence", R).alias("confidence"), "method")
+    nothing = F.col("category").isNull()
+    return out.select("doc_id", "kw1_category", "kw1_score", F.coalesce("category", F.lit(M.UNCLASSIFIED)).alias("category"),
+                      F.round(F.coalesce("confidence", F.lit(0.0)), R).alias("confidence"),
+                      F.when(nothing, M.METHOD_NONE).otherwise(F.col("method")).alias("method"))
+
+
+def hybrid_labelled(spark, sf_dir) -> DataFrame:
+    """The scored documents that have a label to be measured against."""
+    return hybrid_scored(spark, sf_dir).filter("label IS NOT NULL").withColumn("actual", F.col("label").cast("string"))
 
 
 def hybrid_comparison(spark, sf_dir) -> DataFrame:
-    out = hybrid_scored(spark, sf_dir).withColumn("actual", F.col("label").cast("string"))
+    out = hybrid_labelled(spark, sf_dir)
     return E.comparison([E.summary(out, "actual", "base_category", model="base"),
                          E.summary(out, "actual", "category", model="hybrid")])
 
@@ -336,8 +344,7 @@ def q_hybrid_improvement(spark, sf_dir):
 
 
 def q_hybrid_confusion(spark, sf_dir):
-    out = hybrid_scored(spark, sf_dir).withColumn("actual", F.col("label").cast("string"))
-    return E.confusion_matrix(out, "actual", "category")
+    return E.confusion_matrix(hybrid_labelled(spark, sf_dir), "actual", "category")
 
 
 def scored_log(spark, sf_dir) -> DataFrame:
@@ -399,6 +406,14 @@ def q_threshold_sweep(spark, sf_dir):
     return S.threshold_sweep(pairs, groups, SWEEP)
 
 
+def q_copy_groups(spark, sf_dir):
+    """Every row of a text that occurs more than once, with its group's smallest id and size:
+    with ``similar_pairs`` this gives every row pair without expanding the copies."""
+    d = labelled(spark, sf_dir).select("id", F.sha2("text", 256).alias("h"))
+    g = d.groupBy("h").agg(F.min("id").alias("group_id"), F.count(F.lit(1)).alias("n_copies")).filter("n_copies > 1")
+    return d.join(g, "h").select("id", "group_id", "n_copies")
+
+
 def q_pair_preview(spark, sf_dir):
     d = labelled(spark, sf_dir)
     pairs, _ = S.corpus_pairs(d, "id", "text", PAIR_THRESHOLD)
@@ -434,6 +449,7 @@ QUERIES.update({
     "similar_pairs": q_similar_pairs,
     "threshold_sweep": q_threshold_sweep,
     "pair_preview": q_pair_preview,
+    "copy_groups": q_copy_groups,
     "template_groups": q_template_groups,
     "template_group_split": q_template_group_split,
 })
@@ -446,12 +462,13 @@ from textlens.streaming import jobs as T  # noqa: E402
 
 def _scored_doc_stream(spark, sf_dir):
     schema = docs(spark, sf_dir).schema
-    stream = T.text_stream(spark, sf_dir, schema, file_glob="documents.parquet")
+    # A pattern, since a plain path must be a folder and the table may be a single file.
+    stream = T.text_stream(spark, f"{sf_dir}/documents.parque[t]", schema)
     scored, labels = centroid_scored(spark, sf_dir)
     base = scored.select(F.col("vec_id").alias("doc_id"), "label", "probs")
 
     def scorer(s: DataFrame) -> DataFrame:
-        j = s.select("doc_id", "text").join(base, "doc_id")  # stream-static join
+        j = s.select("doc_id", "text").join(base, "doc_id", "left")  # stream-static join
         out = M.score(j, "text", "probs", labels, EMBED_LEXICON)
         return out.select("doc_id", F.col("label").cast("string").alias("actual"), "base_category",
                           "base_confidence", "kw_category", "kw_score", "rule", "category", "confidence",

@@ -361,26 +361,23 @@ WITH {CENTROID},
 kw AS ({KW_EMB}),
 j AS (SELECT d.doc_id, CAST(e.label AS VARCHAR) AS actual, CAST(b.cls_id AS VARCHAR) AS base_category,
              b.conf AS base_confidence, kw.kw_category, kw.kw_score, kw.kw_matches
-      FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id JOIN base b ON b.vec_id = d.doc_id
+      FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN base b ON b.vec_id = d.doc_id
       JOIN kw ON kw.id = d.doc_id),
-r AS (SELECT *, CASE WHEN kw_category IS NULL THEN 1 WHEN kw_category = base_category THEN 2
+r AS (SELECT *, CASE WHEN base_category IS NULL THEN CASE WHEN kw_category IS NULL THEN 7 ELSE 6 END
+                     WHEN kw_category IS NULL THEN 1 WHEN kw_category = base_category THEN 2
                      WHEN kw_score >= 3 AND base_confidence < 0.45 THEN 3
                      WHEN kw_score >= 2 AND base_confidence < 0.25 THEN 4 ELSE 5 END AS rule FROM j)
 SELECT doc_id, actual, base_category, base_confidence, kw_category, kw_score, rule,
-       CASE WHEN rule IN (3, 4) THEN kw_category ELSE base_category END AS category,
-       base_confidence AS confidence,
-       CASE rule WHEN 2 THEN 'agreement' WHEN 3 THEN 'hybrid_strong' WHEN 4 THEN 'hybrid_assisted' ELSE 'model' END AS method,
-       CASE WHEN rule IN (2, 3, 4) THEN kw_matches ELSE '' END AS matched_keywords
+       CASE WHEN rule IN (3, 4, 6) THEN kw_category WHEN rule = 7 THEN 'unclassified' ELSE base_category END AS category,
+       coalesce(base_confidence, 0) AS confidence,
+       CASE rule WHEN 6 THEN 'keyword_only' WHEN 7 THEN 'none' WHEN 2 THEN 'agreement' WHEN 3 THEN 'hybrid_strong' WHEN 4 THEN 'hybrid_assisted' ELSE 'model' END AS method,
+       CASE WHEN rule IN (2, 3, 4, 6) THEN kw_matches ELSE '' END AS matched_keywords
 FROM r"""
 
 LOG = f"""(SELECT h.doc_id, d.text AS complaint, h.category, h.confidence, h.method, e.ts AS timestamp
           FROM ({HYBRID}) h JOIN events e ON e.event_id = h.doc_id JOIN documents d ON d.doc_id = h.doc_id)"""
 
 
-def kw1_on(src_ids: str, lex: Lexicon) -> str:
-    return keyword_v1_sql(lex).replace(f"FROM {LABELLED})", f"FROM {LABELLED} WHERE id IN {src_ids})", 1)
-
-
 SQL.update({
     "softmax_argmax": f"""
 WITH {CENTROID}
@@ -396,26 +393,26 @@ SELECT doc_id, actual, base_category, round(base_confidence, {R}) AS base_confid
        rule, category, round(confidence, {R}) AS confidence, method, matched_keywords FROM ({HYBRID})""",
     "keyword_v1_decision": f"""
 WITH {CENTROID},
-v1 AS ({kw1_on("(SELECT vec_id FROM embeddings)", EMBED_LEXICON)})
+v1 AS ({keyword_v1_sql(EMBED_LEXICON)})
 SELECT d.doc_id, v1.kw1_category, v1.kw1_score,
-       CASE WHEN v1.kw1_score > 0 THEN v1.kw1_category ELSE CAST(b.cls_id AS VARCHAR) END AS category,
-       round(b.conf, {R}) AS confidence,
-       CASE WHEN v1.kw1_score > 0 THEN 'keyword_override' ELSE 'model' END AS method
-FROM documents d JOIN base b ON b.vec_id = d.doc_id JOIN v1 ON v1.id = d.doc_id""",
+       CASE WHEN v1.kw1_score > 0 THEN v1.kw1_category ELSE coalesce(CAST(b.cls_id AS VARCHAR), 'unclassified') END AS category,
+       round(coalesce(b.conf, 0), {R}) AS confidence,
+       CASE WHEN v1.kw1_score > 0 THEN 'keyword_override' WHEN b.cls_id IS NULL THEN 'none' ELSE 'model' END AS method
+FROM documents d LEFT JOIN base b ON b.vec_id = d.doc_id JOIN v1 ON v1.id = d.doc_id""",
     "hybrid_comparison": f"""
 SELECT model, accuracy, precision, recall, macro_f1 FROM (
-SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID})", model="base", digits=4)})
+SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID}) WHERE actual IS NOT NULL", model="base", digits=4)})
 UNION ALL
-SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})", model="hybrid", digits=4)}))""",
+SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID}) WHERE actual IS NOT NULL", model="hybrid", digits=4)}))""",
     "hybrid_improvement": f"""
-WITH t AS (SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID})", model="base", digits=4)})
+WITH t AS (SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID}) WHERE actual IS NOT NULL", model="base", digits=4)})
            UNION ALL
-           SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})", model="hybrid", digits=4)}))
+           SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID}) WHERE actual IS NOT NULL", model="hybrid", digits=4)}))
 SELECT round((max(accuracy) FILTER (WHERE model = 'hybrid') - max(accuracy) FILTER (WHERE model = 'base')) * 100, 2)
          AS accuracy_points,
        round(max(macro_f1) FILTER (WHERE model = 'hybrid') - max(macro_f1) FILTER (WHERE model = 'base'), 4)
          AS macro_f1_gain FROM t""",
-    "hybrid_confusion": confusion_sql(f"SELECT actual, category AS predicted FROM ({HYBRID})"),
+    "hybrid_confusion": confusion_sql(f"SELECT actual, category AS predicted FROM ({HYBRID}) WHERE actual IS NOT NULL"),
     "log_summary": f"""
 SELECT CAST(count(*) AS BIGINT) AS total,
        CAST(sum(CAST(round(confidence * 10000) AS BIGINT)) AS DOUBLE) / (count(*) * CAST(100 AS DOUBLE)) AS avg_confidence_pct,
@@ -494,6 +491,10 @@ SELECT tg.id, tg.group_id, CASE WHEN r.rn <= ceil(r.G * CAST(0.2 AS DOUBLE)) THE
 FROM tg JOIN r ON r.group_id = tg.group_id""",
 })
 
+SQL["copy_groups"] = f"""
+SELECT id, min(id) OVER (PARTITION BY text) AS group_id, count(*) OVER (PARTITION BY text) AS n_copies FROM {LABELLED}
+QUALIFY count(*) OVER (PARTITION BY text) > 1"""
+
 SQL.update({
     "stream_scores": SQL["hybrid_predict"],
     "stream_counts": f"""

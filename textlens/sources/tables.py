@@ -22,26 +22,13 @@ EVAL_SCHEMA = T.StructType([
 ])
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, partitions: int | None = None) -> DataFrame:
     """Parquet scan of one driver table; Catalyst prunes columns and pushes filters.
 
-    ``spread``: for tables with heavy per-row work (whole-text regexes, folds),
-    make sure the rows are spread over at least the session's parallelism.  A
-    small file with one row group scans as a single non-empty split, which would
-    leave all per-row work to one task; a round-robin repartition then costs one
-    cheap shuffle.  A large table (many files / row groups) already has more
-    splits than cores and is left as it is, so at scale this adds nothing.
+    ``partitions``: a caller's layout hint for small one-file tables; none by default.
     """
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    if spread:
-        try:
-            want = spark.sparkContext.defaultParallelism
-            have = df.rdd.getNumPartitions()
-        except Exception:  # noqa: BLE001 - sessions without an RDD API: leave the scan as it is
-            return df
-        if have <= want:
-            df = df.repartition(want)
-    return df
+    return df.repartition(partitions) if partitions else df
 
 
 def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LABELLED_SCHEMA,
@@ -54,11 +41,17 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: T.StructType = LAB
     return df.select(*keep)
 
 
-def read_user_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Any CSV with a header; malformed rows kept in `_corrupt_record` instead of failing."""
-    return (spark.read.option("header", True).option("escape", '"').option("multiLine", True)
-            .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-            .csv(path))
+def read_user_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Any CSV with a header, all columns as text; a row with too many or too few cells is
+    kept whole in ``_corrupt_record`` (null for good rows).
+
+    ``multi_line`` allows line breaks inside quoted cells and reads each file in one task;
+    switch it off for large files without such cells.
+    """
+    options = {"header": True, "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE"}
+    names = spark.read.options(**options).csv(path).columns
+    fields = [T.StructField(c, T.StringType()) for c in [*names, "_corrupt_record"]]
+    return spark.read.schema(T.StructType(fields)).options(**options, columnNameOfCorruptRecord="_corrupt_record").csv(path)
 
 
 def text_column(df: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:

@@ -25,12 +25,13 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return os.path.join(base, "out"), os.path.join(base, "checkpoint")
 
 
-def text_stream(spark: SparkSession, directory: str, schema, file_glob: str = "*.parquet",
-                max_files_per_trigger: int = 1) -> DataFrame:
-    """Parquet file source over a directory (files picked by ``file_glob``) with a
-    fixed schema (no inference on a stream)."""
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
-            .option("maxFilesPerTrigger", max_files_per_trigger).parquet(directory))
+def text_stream(spark: SparkSession, path: str, schema, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Parquet file source over a table (one file or a folder of files) with a fixed schema
+    (no inference on a stream); all new files of a trigger form one batch unless limited."""
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    return reader.parquet(path)
 
 
 def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], spark: SparkSession,
@@ -40,12 +41,13 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], sp
     Returns the table as a batch DataFrame once the stream is drained.
     """
     out, ckpt = _paths(spark, name)
-    q = (scorer(stream).writeStream.format("parquet").outputMode("append")
+    scored = scorer(stream)
+    q = (scored.writeStream.format("parquet").outputMode("append")
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start(out))
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    return spark.read.parquet(out)
+    return spark.read.schema(scored.schema).parquet(out)  # known schema: an empty stream writes no file
 
 
 def running_totals(scored_stream: DataFrame, spark: SparkSession, name: str = "totals",
@@ -59,15 +61,18 @@ def running_totals(scored_stream: DataFrame, spark: SparkSession, name: str = "t
     out, ckpt = _paths(spark, name)
     table = f"textlens_{name}_{uuid.uuid4().hex[:8]}"
 
-    def write_batch(batch: DataFrame, _epoch: int) -> None:
-        # complete-mode state snapshot, replaced atomically per epoch
-        batch.write.mode("overwrite").parquet(out)
+    last = {}
+
+    def write_batch(batch: DataFrame, epoch: int) -> None:
+        # complete-mode snapshot in a folder of its own per epoch; the last finished one is read
+        batch.write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+        last["path"] = os.path.join(out, f"epoch={epoch}")
 
     q = (agg.writeStream.outputMode("complete").option("checkpointLocation", ckpt)
          .foreachBatch(write_batch).trigger(availableNow=True).queryName(table).start())
     q.awaitTermination()
     if q.exception():
         raise q.exception()
-    res = spark.read.parquet(out)
+    res = spark.read.schema(agg.schema).parquet(last["path"]) if last else spark.createDataFrame([], agg.schema)
     return res.select("category", "n", (F.col("_conf_sum") / (F.col("n") * 100.0)).alias("avg_confidence_pct"),
                       (F.col("_hybrid") * 100.0 / F.col("n")).alias("hybrid_share_pct"))
