@@ -43,6 +43,7 @@ N = 5
 PERCENT = 80
 HEAD = 0.04           # length of a head beyond the 20 % that the lemma needs, as a share of the set
 BITS = 2048           # bitmap of a set in the tree
+WIDE = 1 << 16        # bitmap of a set between two leaves, travelling as 16-bit marks
 LEAF, FAN = 16, 8     # sets in a leaf node, children of an inner node
 GROUP = 2_000         # sets of one key in one task
 HOOKS = 2             # rounds of one pair per key and component before all pairs
@@ -175,7 +176,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def full_sets(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """(sid, n, shingles, bits), one row per sid of ``keep``."""
+    """(sid, n, shingles, bits, marks), one row per sid of ``keep``."""
     ids = None
     if keep.count() <= SHIP:
         import numpy as np
@@ -187,7 +188,7 @@ def full_sets(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
         own = _Shingler()
         for batch in batches:
-            sid, n, sets, bits = [], [], [], []
+            sid, n, sets, bits, marks = [], [], [], [], []
             for s in own.batch(batch.column(0)):
                 x = _sid(s)
                 if ids is not None:
@@ -200,14 +201,18 @@ def full_sets(docs: DataFrame, keep: DataFrame) -> DataFrame:
                 n.append(len(s))
                 sets.append(s.view("int64"))
                 bits.append(np.packbits(mark).tobytes())
+                marks.append((s >> np.uint64(16)).astype("uint16").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())),
-                                              pa.array(bits, pa.binary())], ["sid", "n", "shingles", "bits"])
+                                              pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
+                                             ["sid", "n", "shingles", "bits", "marks"])
 
-    out = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "sid long, n int, shingles array<long>, bits binary")
+    out = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
+        run, "sid long, n int, shingles array<long>, bits binary, marks binary")
     if ids is None:
         out = out.join(keep.select("sid"), "sid", "left_semi")
     # Copies of one set: any of them, combined map-side first.
-    return out.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    return out.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"),
+                                  F.first("marks").alias("marks"))
 
 
 # ---------------------------------------------------------------- who can link at all
@@ -313,6 +318,31 @@ class Tree:
         return self.order[i[ok]], self.order[j[ok]]
 
 
+def close(i, j, n, marks):
+    """Which pairs of sets still pass with bitmaps of WIDE bits made of their 16-bit marks.
+
+    A bit of x that y lacks is a shingle that y lacks; so few bits collide at this width
+    that hardly any pair below the threshold passes.
+    """
+    import numpy as np
+
+    ok = np.zeros(len(i), bool)
+    if not len(i):
+        return ok
+    used, at = np.unique(np.concatenate([i, j]), return_inverse=True)
+    x, y = at[:len(i)], at[len(i):]
+    for a in range(0, len(used), 256):  # 16 MB of bitmaps at a time for the first side of the pairs
+        own = [np.frombuffer(marks[u], "uint16") for u in used[a:a + 256]]
+        wide = np.zeros((len(own), WIDE), bool)
+        for r, m in enumerate(own):
+            wide[r, m] = True
+        for p in np.flatnonzero((x >= a) & (x < a + 256)):
+            other = np.frombuffer(marks[used[y[p]]], "uint16")
+            inside = int(wide[x[p] - a][other].sum())  # marks of y that x has, at least the overlap
+            ok[p] = 100 * inside >= PERCENT * (n[i[p]] + n[j[p]] - inside)
+    return ok
+
+
 def hooks(i, j, comp):
     """Of the pairs (i, j), one for each component that has a smaller neighbour: with the smallest."""
     import numpy as np
@@ -327,7 +357,7 @@ def hooks(i, j, comp):
 
 def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
     """Distinct pairs (a, b) that the trees of all keys leave, or (``every`` false) per key one for
-    each component; ``members`` has token, sid, n, comp, bits.
+    each component; ``members`` has token, sid, n, comp, bits, marks.
 
     Rows of a key lie together (repartitioned and sorted by key); one key's rows in one
     task are bounded by the dealing in ``links``.
@@ -337,8 +367,11 @@ def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
         import pyarrow as pa
 
         def flush(rows):
-            sid, n, comp, bits = (np.concatenate(c) for c in zip(*rows))
+            sid, n, comp, bits = (np.concatenate(c) for c in list(zip(*rows))[:4])
+            marks = [m for r in rows for m in r[4]]
             i, j = Tree(n, bits, comp).pairs()
+            ok = close(i, j, n, marks)
+            i, j = i[ok], j[ok]
             if not every:
                 i, j = hooks(i, j, comp)
             return np.minimum(sid[i], sid[j]), np.maximum(sid[i], sid[j])
@@ -352,6 +385,7 @@ def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
         for batch in batches:
             key, sid, n, comp = (batch.column(c).to_numpy() for c in range(4))
             bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), "uint64").reshape(-1, BITS // 64)
+            marks = batch.column(5).to_pylist()
             cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             parts = []
             for x, y in zip(cut[:-1], cut[1:]):
@@ -361,12 +395,12 @@ def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
                     parts.append(flush(rows))
                     rows = []
                 open_key = key[x]
-                rows.append((sid[x:y], n[x:y].astype("int64"), comp[x:y], bits[x:y]))
+                rows.append((sid[x:y], n[x:y].astype("int64"), comp[x:y], bits[x:y], marks[x:y]))
             yield emit(parts)
         if rows:
             yield emit([flush(rows)])
 
-    out = members.select("token", "sid", "n", "comp", "bits").mapInArrow(run, "a long, b long")
+    out = members.select("token", "sid", "n", "comp", "bits", "marks").mapInArrow(run, "a long, b long")
     return out.distinct()
 
 
@@ -386,7 +420,7 @@ def _members(k: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     m = m.select("token", "sid", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    m = m.select(key.alias("token"), "sid", "comp").join(full.select("sid", "n", "bits"), "sid")
+    m = m.select(key.alias("token"), "sid", "comp").join(full.select("sid", "n", "bits", "marks"), "sid")
     return m.repartition("token").sortWithinPartitions("token")
 
 
@@ -402,7 +436,8 @@ def links(full: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full), "ngram_links")
     comp = _components(full, found)
     for i in range(HOOKS + 1):
-        more = materialize(verified(tree_pairs(_members(k, comp, full), every=i == HOOKS), full), "ngram_links")
+        every = i == HOOKS
+        more = materialize(verified(tree_pairs(_members(k, comp, full), every), full), "ngram_links")
         if not more.isEmpty():
             found = found.unionByName(more)
             comp = _components(full, found)
