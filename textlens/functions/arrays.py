@@ -1,7 +1,7 @@
 """Array functions over class-probability vectors.
 
 Probabilities are ARRAY<DOUBLE> in label-id order; everything here is a
-higher-order function evaluated per row inside codegen, no UDF.
+higher-order function evaluated per row (interpreted, on the JVM), no UDF.
 """
 
 from __future__ import annotations

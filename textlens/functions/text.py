@@ -1,6 +1,6 @@
 """Scalar text functions as native Spark column expressions.
 
-All of these compile into whole-stage codegen; none is a Python UDF.  Each one
+All of these are built-in JVM expressions (higher-order functions are interpreted, the rest compiles); none is a Python UDF.  Each one
 has a DuckDB twin in ``textlens.plans.oracle`` built from the same patterns.
 """
 

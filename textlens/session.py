@@ -67,8 +67,7 @@ def materialize(df, name: str = "table"):
 
     Used where one intermediate feeds several branches of a plan: it is computed
     exactly once, the lineage is cut, and a lost executor re-reads the files
-    instead of recomputing upstream work.  (``Dataset.checkpoint`` would compute
-    the plan twice unless it were also cached.)
+    instead of recomputing upstream work.
     """
     import uuid
 
