@@ -4,7 +4,7 @@ Matching is by **substring** of the normalised text (so `treatment` contains
 `atm`), phrase weight is its word count capped at 3, and the dictionary is a
 multiset keyed by ``kw_id``.  The lexicon is bounded and rides along in the plan
 as a literal array, so scoring is a pure per-row projection: no join, no
-shuffle, whole texts, and it stays inside whole-stage codegen.
+shuffle, whole texts; the fold is interpreted on the JVM.
 """
 
 from __future__ import annotations
