@@ -29,17 +29,22 @@ def seeded_hash(id_col, seed: int) -> Column:
 
 
 def rank_within_group(df: DataFrame, group_cols: list[str], key_col: str, tie_col: str,
-                      out_col: str = "rn", hex_digits: int = BUCKET_HEX_DIGITS) -> DataFrame:
+                      out_col: str = "rn", hex_digits: int = BUCKET_HEX_DIGITS,
+                      size_col: str | None = None) -> DataFrame:
     """Add ``out_col`` = row_number() over (partition by group_cols order by key_col, tie_col).
 
     ``key_col`` must be a lower-case hex string (an md5), so its first digits are
-    a bucket that is monotone in the order.
+    a bucket that is monotone in the order.  ``size_col`` adds the rows of the group,
+    taken from the same histogram.
     """
     bucket = F.conv(F.substring(F.col(key_col), 1, hex_digits), 16, 10).cast("int")
     with_b = df.withColumn("_bucket", bucket)
     hist = with_b.groupBy(*group_cols, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*group_cols).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0))).drop("_n")
+    offsets = hist.withColumn("_offset", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    if size_col:
+        offsets = offsets.withColumn(size_col, F.sum("_n").over(Window.partitionBy(*group_cols)))
+    offsets = offsets.drop("_n")
     # No broadcast hint: the window below needs rows clustered by (group, bucket)
     # anyway, so a shuffle join on those keys costs no extra exchange, and AQE
     # still turns it into a broadcast when the measured histogram is small.

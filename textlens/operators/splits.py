@@ -22,12 +22,10 @@ N_FOLDS = 5
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = TEST_SIZE,
                      seed: int = SEED) -> DataFrame:
     """Per class, the first round(test_size * n_class) rows in hash order are 'test'."""
-    sizes = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_n_class"))
     keyed = df.withColumn("_key", seeded_hash(id_col, seed))
-    ranked = rank_within_group(keyed, [label_col], "_key", id_col, out_col="_rn")
+    ranked = rank_within_group(keyed, [label_col], "_key", id_col, out_col="_rn", size_col="_n_class")
     cut = F.round(F.col("_n_class") * F.lit(test_size), 0)
-    return (ranked.join(sizes, label_col)
-            .withColumn("split", F.when(F.col("_rn") <= cut, F.lit("test")).otherwise(F.lit("train")))
+    return (ranked.withColumn("split", F.when(F.col("_rn") <= cut, F.lit("test")).otherwise(F.lit("train")))
             .drop("_key", "_rn", "_n_class"))
 
 

@@ -547,7 +547,7 @@ def q_text_flags(spark, sf_dir):
     return d.agg(F.count_if(has_char_range("text", 0x0900, 0x097F)).alias("n_devanagari"),
                  F.count_if(has_damage("text")).alias("n_damaged"),
                  F.count_if(is_blank("text")).alias("n_blank"),
-                 F.count_distinct("text").alias("distinct_texts"))
+                 F.count_distinct(F.sha2("text", 256)).alias("distinct_texts"))
 
 
 def q_head(spark, sf_dir):
