@@ -76,13 +76,10 @@ def test_tree_loses_no_pair():
     for _ in range(40):
         base = rng.integers(0, 1 << 62, rng.integers(5, 200))
         sets += [np.unique(np.concatenate([base[rng.random(len(base)) > .08], rng.integers(0, 1 << 62, 2)])) for _ in range(rng.integers(1, 6))]
-    marks = np.zeros((len(sets), J.BITS), bool)
-    for i, s in enumerate(sets):
-        marks[i, s % J.BITS] = True
-    bits = np.packbits(marks, axis=1).view("uint64")
+    marks = [(s.astype("uint64") >> np.uint64(16)).astype("uint16").tobytes() for s in sets]
     n = np.array([len(s) for s in sets])
-    i, j = J.Tree(n, bits, np.arange(len(sets))).pairs()
-    ok = J.close(i, j, n, [(s.astype("uint64") >> np.uint64(16)).astype("uint16").tobytes() for s in sets])
+    i, j = J.Tree(n, J.bitmaps(marks), np.arange(len(sets))).pairs()
+    ok = J.close(i, j, n, marks)
     i, j = i[ok], j[ok]
     got = {(min(a, b), max(a, b)) for a, b in zip(i.tolist(), j.tolist())}
     for a in range(len(sets)):

@@ -46,7 +46,7 @@ BITS = 2048           # bitmap of a set in the tree
 WIDE = 1 << 16        # bitmap of a set between two leaves, travelling as 16-bit marks
 LEAF, FAN = 16, 8     # sets in a leaf node, children of an inner node
 GROUP = 2_000         # sets of one key in one task
-HOOKS = 2             # rounds of one pair per key and component before all pairs
+HOOKS = 1             # rounds of one pair per key and component before all pairs
 SHIP = 1_000_000      # surviving set ids that travel with the second Arrow pass
 CHUNK = 1 << 20       # bytes hashed at a time
 
@@ -176,7 +176,7 @@ def shingle_sets(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 
 def full_sets(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """(sid, n, shingles, bits, marks), one row per sid of ``keep``."""
+    """(sid, n, shingles, marks), one row per sid of ``keep``."""
     ids = None
     if keep.count() <= SHIP:
         import numpy as np
@@ -188,31 +188,26 @@ def full_sets(docs: DataFrame, keep: DataFrame) -> DataFrame:
 
         own = _Shingler()
         for batch in batches:
-            sid, n, sets, bits, marks = [], [], [], [], []
+            sid, n, sets, marks = [], [], [], []
             for s in own.batch(batch.column(0)):
                 x = _sid(s)
                 if ids is not None:
                     i = np.searchsorted(ids, x)
                     if i == len(ids) or ids[i] != x:
                         continue
-                mark = np.zeros(BITS, bool)
-                mark[(s & np.uint64(BITS - 1)).astype("int64")] = True
                 sid.append(x)
                 n.append(len(s))
                 sets.append(s.view("int64"))
-                bits.append(np.packbits(mark).tobytes())
                 marks.append((s >> np.uint64(16)).astype("uint16").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(sid, pa.int64()), pa.array(n, pa.int32()), pa.array(sets, pa.list_(pa.int64())),
-                                              pa.array(bits, pa.binary()), pa.array(marks, pa.binary())],
-                                             ["sid", "n", "shingles", "bits", "marks"])
+                                              pa.array(marks, pa.binary())], ["sid", "n", "shingles", "marks"])
 
     out = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(
-        run, "sid long, n int, shingles array<long>, bits binary, marks binary")
+        run, "sid long, n int, shingles array<long>, marks binary")
     if ids is None:
         out = out.join(keep.select("sid"), "sid", "left_semi")
     # Copies of one set: any of them, combined map-side first.
-    return out.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"),
-                                  F.first("marks").alias("marks"))
+    return out.groupBy("sid").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("marks").alias("marks"))
 
 
 # ---------------------------------------------------------------- who can link at all
@@ -263,6 +258,16 @@ def leader_pairs(k: DataFrame, pick) -> DataFrame:
     return met.groupBy("sid").agg(F.max(F.struct("c", "b")).alias("x")).select(F.col("sid").alias("a"), F.col("x.b").alias("b"))
 
 
+def bitmaps(marks):
+    """Bitmaps of BITS bits, as rows of 64-bit words, of sets given by their 16-bit marks."""
+    import numpy as np
+
+    on = np.zeros((len(marks), BITS), bool)
+    for r, m in enumerate(marks):
+        on[r, np.frombuffer(m, "uint16") % BITS] = True
+    return np.packbits(on, axis=1).view("uint64")
+
+
 class Tree:
     """Signature tree over sets of one key: arrays per level, leaves first, sets of one component together."""
 
@@ -357,7 +362,7 @@ def hooks(i, j, comp):
 
 def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
     """Distinct pairs (a, b) that the trees of all keys leave, or (``every`` false) per key one for
-    each component; ``members`` has token, sid, n, comp, bits, marks.
+    each component; ``members`` has token, sid, n, comp, marks.
 
     Rows of a key lie together (repartitioned and sorted by key); one key's rows in one
     task are bounded by the dealing in ``links``.
@@ -367,9 +372,9 @@ def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
         import pyarrow as pa
 
         def flush(rows):
-            sid, n, comp, bits = (np.concatenate(c) for c in list(zip(*rows))[:4])
-            marks = [m for r in rows for m in r[4]]
-            i, j = Tree(n, bits, comp).pairs()
+            sid, n, comp = (np.concatenate(c) for c in list(zip(*rows))[:3])
+            marks = [m for r in rows for m in r[3]]
+            i, j = Tree(n, bitmaps(marks), comp).pairs()
             ok = close(i, j, n, marks)
             i, j = i[ok], j[ok]
             if not every:
@@ -384,8 +389,7 @@ def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
         open_key, rows = None, []
         for batch in batches:
             key, sid, n, comp = (batch.column(c).to_numpy() for c in range(4))
-            bits = np.frombuffer(b"".join(batch.column(4).to_pylist()), "uint64").reshape(-1, BITS // 64)
-            marks = batch.column(5).to_pylist()
+            marks = batch.column(4).to_pylist()
             cut = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             parts = []
             for x, y in zip(cut[:-1], cut[1:]):
@@ -395,12 +399,12 @@ def tree_pairs(members: DataFrame, every: bool) -> DataFrame:
                     parts.append(flush(rows))
                     rows = []
                 open_key = key[x]
-                rows.append((sid[x:y], n[x:y].astype("int64"), comp[x:y], bits[x:y], marks[x:y]))
+                rows.append((sid[x:y], n[x:y].astype("int64"), comp[x:y], marks[x:y]))
             yield emit(parts)
         if rows:
             yield emit([flush(rows)])
 
-    out = members.select("token", "sid", "n", "comp", "bits", "marks").mapInArrow(run, "a long, b long")
+    out = members.select("token", "sid", "n", "comp", "marks").mapInArrow(run, "a long, b long")
     return out.distinct()
 
 
@@ -420,7 +424,7 @@ def _members(k: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     m = m.select("token", "sid", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     key = F.xxhash64("token", F.least("own", "other"), F.greatest("own", "other"))
-    m = m.select(key.alias("token"), "sid", "comp").join(full.select("sid", "n", "bits", "marks"), "sid")
+    m = m.select(key.alias("token"), "sid", "comp").join(full.select("sid", "n", "marks"), "sid")
     return m.repartition("token").sortWithinPartitions("token")
 
 
