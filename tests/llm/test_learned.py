@@ -92,6 +92,18 @@ def test_segments_are_the_maximal_ones():
         assert all(x[1] < y[0] for x, y in zip(found, found[1:]))
 
 
+def test_many_weak_segments_count_together(docs_of):
+    weak = [(i, i, 6.0) for i in range(40)]
+    assert X.statistic(weak[:1], 5_000, 1.0) < -2 and X.statistic(weak, 5_000, 1.0) == X.SURE
+    text = ["plain"] * 5_000
+    one = list(text)
+    one[60] = "zqork"
+    text[60::125] = ["zqork"] * len(text[60::125])
+    model = X.Model({"zqork": 6.0}, 1.0, 1.0, 0.0)
+    score = {r["doc_id"]: r["score"] for r in X.score(docs_of([(1, " ".join(text)), (2, " ".join(one))]), model).collect()}
+    assert score[1] > 0.9 and score[2] < 0.1
+
+
 def test_pipeline_stages(spark, docs_of):
     import corpus_pipeline as P
 

@@ -106,10 +106,9 @@ def statistic(found: list[tuple[int, int, float]], n: int, lam: float) -> float:
         return NOTHING
     best, run = -math.inf, 0.0
     for r, s in enumerate(sorted((s for _, _, s in found), reverse=True), 1):
+        # ln r grows with r, so the sums can fall first and rise later: all of them count.
         run += lam * s - math.log(max(n, 1)) + math.log(r)
-        if run <= best:
-            break
-        best = run
+        best = max(best, run)
     return max(NOTHING, min(SURE, best))
 
 
