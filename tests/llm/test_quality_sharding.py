@@ -1,6 +1,7 @@
 """Rule ledger, extendible hashing and decontamination on small cases."""
 
 import collections
+import itertools
 import random
 import re
 
@@ -84,3 +85,35 @@ def test_leaks_with_substitutions(spark, docs_of):
     kept = D.clean_documents(docs_of(rows), bench)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _ in rows} - {i for i, _ in want}
     assert D.overlaps(docs_of([]), bench).count() == 0 and D.overlaps(docs_of(rows), bench.limit(0)).count() == 0
+
+
+def best_stretch(equal):
+    """Equal tokens of the first stretch with the best score."""
+    score = hits = top = matched = 0
+    for ok in equal:
+        if score <= 0:
+            score = hits = 0
+        score, hits = score + (1 if ok else -2), hits + ok
+        if score > top:
+            top, matched = score, hits
+    return matched
+
+
+def test_every_accepted_substitution_has_a_hit():
+    on = [[k for k, c in enumerate(m) if c == "1"] for m in D.MASKS]
+    for n in range(6, 21):
+        for away in (a for r in range(6) for a in itertools.combinations(range(n), r)):
+            equal = [i not in away for i in range(n)]
+            matched = best_stretch(equal)
+            if matched >= min(D.MIN_MATCHED, n) and matched >= D.MIN_SHARE * n:
+                assert any(all(equal[i + k] for k in ks) for m, ks in zip(D.MASKS, on) for i in range(n - len(m) + 1)), (n, away)
+
+
+def test_leaks_of_short_items(spark, docs_of):
+    item = {n: [f"t{n}x{i}" for i in range(n)] for n in (5, 6, 7, 8, 15)}
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in item.items()], "item_id long, text string")
+    spot = ["other" if i in (1, 6, 10) else w for i, w in enumerate(item[15])]
+    part = item[7][:6] + ["other"]
+    rows = [(n, " ".join(["so", *w, "on"])) for n, w in item.items()] + [(20, " ".join(spot)), (21, " ".join(part))]
+    found = {(r["doc_id"], r["item_id"]) for r in D.contaminated(D.overlaps(docs_of(rows), bench)).collect()}
+    assert found == {(6, 6), (7, 7), (8, 8), (15, 15), (20, 15)}
