@@ -100,3 +100,16 @@ def test_one_of_each_group_stays(docs_of):
         [(3, text), (3, rows[2][1]), (7, None)], key=lambda r: (r[0], r[1] or ""))
     assert out.filter("doc_id IS NULL").count() == 1
     assert J.near_duplicates(docs_of([])).count() == 0
+
+
+def test_repeated_rows_stay_once(docs_of):
+    text = " ".join(f"w{i}" for i in range(50))
+    other = " ".join(f"v{i}" for i in range(50))
+    rows = [(None, text)] * 40 + [(None, text + " more")] * 5 + [(4, other)] * 3 + [(4, "short")] * 2 + [(8, other)] * 2 + [(6, "alone"), (7, None), (7, None)]
+    d = docs_of(rows)
+    out = J.one_per_group(d)
+    assert out.columns == d.columns
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    null = [t for i, t in got if i == 0]
+    assert len(null) == 1 and null[0] in (text, text + " more")
+    assert got[1:] == sorted([(4, other), (4, "short"), (6, "alone"), (7, ""), (7, "")])

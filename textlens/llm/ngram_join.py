@@ -465,11 +465,17 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each component: the one with the smallest doc_id.
 
     Rows are told apart by doc_id and text, so a repeated id loses only the rows that are
-    copies; rows equal in both are one document and stay together.  A null doc_id is the
-    smallest.  Documents without words stay.
+    copies; of rows equal in both, repeated rows, any one stays.  A null doc_id is the
+    smallest.  Documents without words link with nothing, and all of them stay.
     """
     copy = F.xxhash64(F.coalesce("text", F.lit("")))
     near = near_duplicates(docs.select(F.struct(F.col("doc_id"), copy.alias("copy")).alias("row"), "text"), "row")
-    away = near.filter("doc_id <> component_id").select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.copy").alias("_copy")).distinct()
-    return docs.withColumn("_text", copy).join(
-        away, F.col("_text").eqNullSafe(F.col("_copy")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").drop("_text")
+    rows = near.filter("n_shingles > 0").groupBy("doc_id").agg(F.first("component_id").alias("first"), F.count(F.lit(1)).alias("rows"))
+    # The rows that are not alone in their component or not alone as they are; written, since both parts below read it.
+    marks = materialize(rows.withColumn("_away", F.col("doc_id") != F.col("first")).filter("_away OR rows > 1").select(
+        F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.copy").alias("_copy"), "_away"), "ngram_marks")
+    marked = docs.withColumn("_text", copy).join(
+        marks, F.col("_text").eqNullSafe(F.col("_copy")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    # Only repeated rows are shuffled for this, each task's copies combined first.
+    once = marked.filter("NOT _away").dropDuplicates(["doc_id", "_text"])
+    return marked.filter("_away IS NULL").unionByName(once).select(*docs.columns)
