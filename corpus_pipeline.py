@@ -25,8 +25,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage; the others go."""
-    return decontaminate.clean_documents(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold no benchmark passage; the others go, told apart by doc_id and text."""
+    return decontaminate.clean_rows(docs, table(spark, sf_dir, "benchmark"))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

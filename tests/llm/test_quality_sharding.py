@@ -117,3 +117,16 @@ def test_leaks_of_short_items(spark, docs_of):
     rows = [(n, " ".join(["so", *w, "on"])) for n, w in item.items()] + [(20, " ".join(spot)), (21, " ".join(part))]
     found = {(r["doc_id"], r["item_id"]) for r in D.contaminated(D.overlaps(docs_of(rows), bench)).collect()}
     assert found == {(6, 6), (7, 7), (8, 8), (15, 15), (20, 15)}
+
+
+def test_a_leak_takes_no_row_of_another_text(spark, docs_of, monkeypatch):
+    import corpus_pipeline as P
+
+    item = " ".join(f"t{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    monkeypatch.setattr(P, "table", lambda *_: bench)
+    rows = [(None, item), (None, "clean"), (None, None), (5, "so " + item), (5, "clean as well"), (6, "alone")]
+    d = docs_of(rows)
+    out = P.decontaminated(spark, d, "")
+    assert out.columns == d.columns
+    assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in out.collect())) == [(0, ""), (0, "clean"), (5, "clean as well"), (6, "alone")]

@@ -58,10 +58,14 @@ def _slots(h: Column) -> list[Column]:
     return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(BITMAP_BITS - 1)).cast("int") for k in (0, 32)]
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def _coded(df: DataFrame, key: str) -> DataFrame:
-    """(key, codes): one 64-bit code per token."""
-    d = df.select(key, tokens(F.col("text")).alias("w"))
-    return d.select(key, F.transform("w", lambda w: F.xxhash64(w)).alias("codes"))
+    """(key, content, codes): a hash of the text, and one 64-bit code per token."""
+    d = df.select(key, text_hash().alias("content"), tokens(F.col("text")).alias("w"))
+    return d.select(key, "content", F.transform("w", lambda w: F.xxhash64(w)).alias("codes"))
 
 
 def bitmap(item_seeds: DataFrame) -> Column:
@@ -94,9 +98,10 @@ def _best_stretch(equal: Column) -> Column:
     return F.aggregate(equal, zero, step, lambda a: a["best"])
 
 
-def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, bench: DataFrame, by_text: bool = False) -> DataFrame:
     """Verified overlaps (doc_id, item_id, item_words, matched, item_start, item_end, doc_start, doc_end),
-    the best per doc_id and item_id; token positions, end exclusive."""
+    the best per doc_id and item_id; token positions, end exclusive.  ``by_text`` tells documents
+    apart by doc_id and ``content``, a hash of the text, which is then a column after doc_id."""
     side = _coded(bench, "item_id").select(
         "item_id", F.col("codes").alias("item_codes"), F.inline_outer(seeds(F.col("codes")))).filter(
         "h IS NOT NULL").withColumnRenamed("at", "item_at")
@@ -109,10 +114,10 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
         return set_in(one) & set_in(two)
 
     d = _coded(docs, "doc_id")
-    d = d.select("doc_id", "codes", F.filter(seeds(F.col("codes")), likely).alias("hits"))
+    d = d.select("doc_id", "content", "codes", F.filter(seeds(F.col("codes")), likely).alias("hits"))
     # inline_outer, then a filter on its output: a filter on the array itself (inferred for
     # inline) would be pushed below and evaluate every window twice.
-    d = d.select("doc_id", "codes", F.xxhash64("codes").alias("content"), F.inline_outer("hits")).filter("h IS NOT NULL")
+    d = d.select("doc_id", "content", "codes", F.inline_outer("hits")).filter("h IS NOT NULL")
     # Only the stretch that an item through this hit can cover travels on.
     first = F.greatest(F.col("at") - reach, F.lit(0))
     d = d.select("doc_id", "content", "h", "at", first.alias("first"),
@@ -124,13 +129,14 @@ def overlaps(docs: DataFrame, bench: DataFrame) -> DataFrame:
         F.any_value(F.struct("first", "near", "item_codes")).alias("v"))
     equal = F.transform("v.item_codes", lambda c, j: F.coalesce(
         F.get(F.col("v.near"), F.col("shift") + j - F.col("v.first")) == c, F.lit(False)))
-    best = hit.select("doc_id", "item_id", "shift", F.size("v.item_codes").alias("item_words"),
+    best = hit.select("doc_id", "content", "item_id", "shift", F.size("v.item_codes").alias("item_words"),
                       _best_stretch(equal).alias("b"))
-    found = best.groupBy("doc_id", "item_id").agg(F.max(F.struct(
+    document = ["doc_id", "content"] if by_text else ["doc_id"]
+    found = best.groupBy(*document, "item_id").agg(F.max(F.struct(
         F.col("b.matched").alias("matched"), F.col("item_words"), F.col("b.start").alias("item_start"),
         F.col("b.end").alias("item_end"), (F.col("shift") + F.col("b.start")).alias("doc_start"),
         (F.col("shift") + F.col("b.end")).alias("doc_end"))).alias("x"))
-    return found.select("doc_id", "item_id", "x.*")
+    return found.select(*document, "item_id", "x.*")
 
 
 def contaminated(overlap: DataFrame) -> DataFrame:
@@ -143,3 +149,10 @@ def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
     """The rows of ``docs`` without a leak, all columns as they were."""
     bad = contaminated(overlaps(docs, bench)).select(F.col("doc_id").alias("_leak")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_leak"]), "left_anti")
+
+
+def clean_rows(docs: DataFrame, bench: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose own text leaks; rows of other texts that share a doc_id, null too, stay."""
+    bad = contaminated(overlaps(docs, bench, by_text=True)).select(F.col("doc_id").alias("_id"), F.col("content").alias("_leak")).distinct()
+    return docs.withColumn("_text", text_hash()).join(
+        bad, F.col("_text").eqNullSafe(F.col("_leak")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").drop("_text")
