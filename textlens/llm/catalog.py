@@ -81,6 +81,29 @@ def op5_best_fit_packing(spark, sf_dir):
                                   public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op11_sentencepiece(spark, sf_dir):
+    """Digests of every document's ids and of their decoded text."""
+    import public_tokenizers
+    from textlens.llm import piece_table as S
+    out = S.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", S.n_ids(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_importance_resampling(spark, sf_dir):
+    """Weight, score and rank of every document in a draw towards the benchmark's texts."""
+    from textlens.llm import importance
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_spelling_variants(spark, sf_dir):
+    """Form and root of every word of the documents' vocabulary."""
+    from textlens.llm import spelling
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filter, op2_pii, op3_quality_rules, op4_toxicity, op5_best_fit_packing, op6_secret_scan, op7_ngram_jaccard,
-    op8_extendible_sharding, op9_decontamination, op10_chat_format)}
+    op8_extendible_sharding, op9_decontamination, op10_chat_format, op11_sentencepiece, op12_importance_resampling,
+    op13_spelling_variants)}

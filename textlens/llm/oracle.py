@@ -2,12 +2,12 @@
 
 The others are tested against brute force, an exact round trip or held-out accuracy
 (``tests/llm``): op1 and op4 learn, op2 and op6 carry spans of learned scores, op5
-tokenises, op9 hashes with Spark's own hash function.
+tokenises, op9 hashes with Spark's own hash function, op11 encodes.
 """
 
 from __future__ import annotations
 
-from textlens.llm import chat_format, ngram_join, quality_rules, sharding
+from textlens.llm import chat_format, importance, ngram_join, quality_rules, sharding, spelling
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,9 +77,87 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss)::BIGINT AS
        formatted_chars, TRUE AS round_trip FROM g"""
 
 
+def _crc32(strings: str) -> str:
+    """CTEs ending in ``crc(s, h)``: the unsigned CRC-32 of the UTF-8 bytes of every distinct ``s`` of ``strings``.
+
+    The CRC is linear: each byte adds a value that depends on it and on the bytes behind it.
+    """
+    return f"""
+crc_in AS MATERIALIZED (SELECT s, row_number() OVER () AS k, octet_length(encode(s))::INT AS len FROM (SELECT DISTINCT s FROM ({strings}))),
+crc_bits AS (SELECT range AS b, range AS v, 0 AS k FROM range(256)
+             UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM crc_bits WHERE k < 8),
+crc_byte AS MATERIALIZED (SELECT b, v FROM crc_bits WHERE k = 8),
+crc_far AS (SELECT 0 AS d, b, v FROM crc_byte
+            UNION ALL SELECT d + 1, f.b, xor(f.v >> 8, t.v) FROM crc_far f JOIN crc_byte t ON t.b = f.v & 255
+            WHERE d < (SELECT max(len) FROM crc_in)),
+crc_table AS MATERIALIZED (SELECT d::INT AS d, printf('%02X', b) AS b, v FROM crc_far),
+crc_zero AS (SELECT 0 AS d, 4294967295 AS v
+             UNION ALL SELECT d + 1, xor(z.v >> 8, t.v) FROM crc_zero z JOIN crc_byte t ON t.b = z.v & 255
+             WHERE d < (SELECT max(len) FROM crc_in)),
+crc_bytes AS (SELECT k, len, unnest(regexp_extract_all(hex(encode(s)), '..')) AS b, unnest(range(len - 1, -1, -1))::INT AS d FROM crc_in),
+crc_sum AS (SELECT k, bit_xor(v) AS v FROM crc_bytes JOIN crc_table USING (b, d) GROUP BY k),
+crc AS MATERIALIZED (SELECT s, xor(xor(coalesce(x.v, 0), z.v), 4294967295) AS h
+                     FROM crc_in i LEFT JOIN crc_sum x USING (k) JOIN crc_zero z ON z.d = i.len)"""
+
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _op12() -> str:
+    n, seed, m, percent = importance.BUCKETS, importance.SEED, importance.MIN_WORDS, importance.PERCENT
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+    def grams(table: str) -> str:
+        return (f"SELECT row, len(w) AS n_words, unnest(list_concat(w, list_concat("
+                f"list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), "
+                f"list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])))) AS s FROM {table}")
+
+    return f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '{word}') AS w FROM documents),
+b AS (SELECT row_number() OVER () AS row, regexp_extract_all({_LOWER}, '{word}') AS w FROM benchmark),
+df AS MATERIALIZED ({grams('d')}),
+bf AS MATERIALIZED ({grams('b')}),
+{_crc32('SELECT s FROM df UNION ALL SELECT s FROM bf')},
+src AS (SELECT h % {n} AS bucket, count(*) AS s FROM df JOIN crc USING (s) GROUP BY bucket),
+tgt AS (SELECT h % {n} AS bucket, count(*) AS t FROM bf JOIN crc USING (s) GROUP BY bucket),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM df) + {n})::DOUBLE
+                / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM bf) + {n})::DOUBLE)))::BIGINT AS g
+         FROM src FULL JOIN tgt USING (bucket)),
+wt AS (SELECT row, count(*) AS n_features, sum(g)::BIGINT AS weight
+       FROM df JOIN crc USING (s) JOIN gain ON bucket = h % {n} GROUP BY row),
+sc AS (SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+              coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('{seed}:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+              + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM d LEFT JOIN wt USING (row)),
+rk AS (SELECT *, CASE WHEN n_words >= {m} THEN row_number() OVER (PARTITION BY n_words >= {m} ORDER BY score DESC, doc_id NULLS LAST) END AS r FROM sc)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN r <= (SELECT count(*) FROM sc WHERE n_words >= {m}) * {percent} // 100 THEN r END::BIGINT AS rank FROM rk"""
+
+
+def _op13() -> str:
+    letters = r"[A-Za-z\x{C0}-\x{FF}]+"
+    return f"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS s, run, count(*) AS n
+     FROM (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '{letters}')) AS run FROM documents) GROUP BY ALL),
+{_crc32('SELECT s FROM runs')},
+holed AS (SELECT CASE WHEN h % {spelling.HOLES} = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+          FROM runs JOIN crc USING (s)),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM holed WHERE length(word) >= {spelling.MIN_LETTERS} GROUP BY word HAVING sum(n) >= {spelling.MIN_COUNT}),
+del AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(0, length(word))) AS i FROM v)),
+pairs AS (SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM del a JOIN del b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+          UNION SELECT a.word, a.n, b.word, b.n FROM del a JOIN v b ON a.rest = b.word
+          UNION SELECT b.word, b.n, a.word, a.n FROM del a JOIN v b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM pairs GROUP BY word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= {spelling.RATIO} * v.n THEN other END AS form,
+            CASE WHEN other_n >= {spelling.RATIO} * v.n THEN other_n END::BIGINT AS form_n FROM v LEFT JOIN best USING (word)),
+way AS (SELECT word, coalesce(form, word) AS root, 0 AS k FROM f UNION ALL SELECT way.word, f.form, k + 1 FROM way JOIN f ON f.word = way.root WHERE f.form IS NOT NULL)
+SELECT f.word, n, form, root, n_near, form_n FROM f JOIN (SELECT word, last(root ORDER BY k) AS root FROM way GROUP BY word) USING (word)"""
+
+
 SQL: dict[str, str] = {
     "op3_quality_rules": _op3(),
     "op7_ngram_jaccard": _op7(),
     "op8_extendible_sharding": _op8(),
     "op10_chat_format": _op10(),
+    "op12_importance_resampling": _op12(),
+    "op13_spelling_variants": _op13(),
 }
