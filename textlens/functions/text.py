@@ -122,6 +122,13 @@ def cap_tokens(col, n: int = MAX_TOKENS) -> Column:
     return F.slice(_c(col), 1, n)
 
 
+def bigrams(tok) -> Column:
+    """Adjacent token pairs ('a b') of a token array, in order."""
+    t = _c(tok)
+    n = F.greatest(F.size(t) - 1, F.lit(0))
+    return F.zip_with(F.slice(t, 1, n), F.slice(t, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
 def unigrams_bigrams(tok) -> Column:
     """V1: unigrams followed by adjacent bigrams ('a b'); 0/1-token rows give no bigram.
 

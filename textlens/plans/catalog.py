@@ -567,3 +567,60 @@ QUERIES.update({
     "head": q_head,
     "error_totals": q_error_totals,
 })
+
+
+# ---------------------------------------------------------------- dictionaries of any size
+
+from textlens.operators import phrases as PH  # noqa: E402
+
+PHRASES_PER_CLASS = 12_500  # of four classes: a dictionary of 50,000 phrases
+
+
+def phrase_dictionary(spark, sf_dir) -> DataFrame:
+    return PH.learned_dictionary(labelled(spark, sf_dir), "text", "category", PHRASES_PER_CLASS)
+
+
+def _phrase_hits(spark, sf_dir, squeeze: bool = True):
+    index = PH.PhraseIndex.build(phrase_dictionary(spark, sf_dir), squeeze)
+    return PH.hits(labelled(spark, sf_dir), "text", index, ["id"]), index
+
+
+def q_phrase_dictionary(spark, sf_dir):
+    """The dictionary of the most frequent two-word phrases of each class."""
+    return phrase_dictionary(spark, sf_dir)
+
+
+def q_phrase_scores(spark, sf_dir):
+    """K1 over that dictionary."""
+    found, _ = _phrase_hits(spark, sf_dir)
+    return PH.scores(found, ["id"])
+
+
+def q_phrase_best(spark, sf_dir):
+    """K2, K3 over that dictionary."""
+    found, _ = _phrase_hits(spark, sf_dir)
+    return PH.best(found, ["id"]).select("id", "kw_category", "kw_score", join_list("kw_matches").alias("kw_matches"))
+
+
+def q_phrase_first_gen(spark, sf_dir):
+    """K4 over that dictionary."""
+    found, index = _phrase_hits(spark, sf_dir, squeeze=False)
+    return PH.first_generation(found, ["id"], index)
+
+
+def q_phrase_first_gen_decision(spark, sf_dir):
+    """K5 over that dictionary: a hit overrides the small lexicon's answer."""
+    found, index = _phrase_hits(spark, sf_dir, squeeze=False)
+    kw1 = PH.first_generation(found, ["id"], index)
+    base = keyword_predictions(spark, sf_dir).select("id", "kw_category", F.col("kw_score").alias("base_score"))
+    return K.first_generation_decision(base.join(kw1, "id"), "kw_category", "base_score").select(
+        "id", "kw1_category", "kw1_score", "category", F.col("confidence").alias("base_score"), "method")
+
+
+QUERIES.update({
+    "phrase_dictionary": q_phrase_dictionary,
+    "phrase_scores": q_phrase_scores,
+    "phrase_best": q_phrase_best,
+    "phrase_first_gen": q_phrase_first_gen,
+    "phrase_first_gen_decision": q_phrase_first_gen_decision,
+})

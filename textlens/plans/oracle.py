@@ -522,3 +522,48 @@ SELECT CAST(count(*) FILTER (WHERE kw_category IS NOT DISTINCT FROM category) AS
        CAST(count(*) FILTER (WHERE kw_category IS DISTINCT FROM category) AS BIGINT) AS wrong
 FROM ({keyword_best_sql(LANG_LEXICON)})""",
 })
+
+
+# ---------------------------------------------------------------- dictionaries of any size (brute force: every phrase in every text)
+
+PHRASES_PER_CLASS = 12_500
+
+DICTIONARY = f"""
+tok AS (SELECT category, regexp_extract_all(lower(text), {q(TOKEN_PATTERN)}) AS t FROM {LABELLED} WHERE category IS NOT NULL),
+ph AS (SELECT category, t[i] || ' ' || t[i + 1] AS keyword, count(*) AS n FROM tok, range(1, len(t)) r(i) GROUP BY ALL),
+dict AS MATERIALIZED (
+  SELECT (dense_rank() OVER (ORDER BY category) - 1)::INTEGER AS cat_order, category, keyword,
+         row_number() OVER (PARTITION BY category ORDER BY n DESC, keyword) AS r FROM ph
+  QUALIFY r <= {PHRASES_PER_CLASS}),
+lex AS MATERIALIZED (SELECT cat_order::BIGINT * {PHRASES_PER_CLASS} + r - 1 AS kw_id, category, cat_order, keyword, 2 AS weight FROM dict)"""
+
+PHRASE_BEST = f"""
+WITH {DICTIONARY},
+d AS MATERIALIZED (SELECT id, {norm_sql('text')} AS norm FROM {LABELLED}),
+hits AS MATERIALIZED (SELECT d.id, lex.kw_id, lex.category AS kcat, lex.keyword, lex.weight FROM d JOIN lex ON contains(d.norm, lex.keyword)),
+cs AS (SELECT id, kcat, sum(weight) AS score, count(*) AS n, string_agg(keyword, ', ' ORDER BY kw_id) AS matches FROM hits GROUP BY id, kcat),
+top AS (SELECT id, max(score) AS best FROM cs GROUP BY id),
+w AS (SELECT cs.id, count(*) AS n_at, min(cs.kcat) AS cat, min(cs.matches) AS matches
+      FROM cs JOIN top ON cs.id = top.id AND cs.score = top.best GROUP BY cs.id)"""
+
+PHRASE_V1 = f"""
+WITH {DICTIONARY},
+d AS MATERIALIZED (SELECT id, lower(text) AS low FROM {LABELLED}),
+h AS MATERIALIZED (SELECT d.id, lex.category, count(*) AS n FROM d JOIN lex ON contains(d.low, lex.keyword) GROUP BY ALL),
+sc AS (SELECT d.id, c.category, c.cat_order, coalesce(h.n, 0) AS score
+       FROM d CROSS JOIN (SELECT DISTINCT category, cat_order FROM lex) c LEFT JOIN h ON h.id = d.id AND h.category = c.category)
+SELECT id, arg_max(category, score * 1000 - cat_order) AS kw1_category, CAST(max(score) AS INTEGER) AS kw1_score FROM sc GROUP BY id"""
+
+SQL.update({
+    "phrase_dictionary": f"WITH {DICTIONARY} SELECT kw_id, category, cat_order, keyword FROM lex",
+    "phrase_scores": f"{PHRASE_BEST} SELECT id, kcat AS category, CAST(score AS INTEGER) AS score, CAST(n AS INTEGER) AS n_matches FROM cs",
+    "phrase_best": f"""{PHRASE_BEST}
+SELECT d.id, CASE WHEN w.n_at = 1 THEN w.cat END AS kw_category, CAST(coalesce(top.best, 0) AS INTEGER) AS kw_score,
+       CASE WHEN w.n_at = 1 THEN w.matches ELSE '' END AS kw_matches
+FROM d LEFT JOIN top ON d.id = top.id LEFT JOIN w ON d.id = w.id""",
+    "phrase_first_gen": PHRASE_V1,
+    "phrase_first_gen_decision": f"""
+SELECT v.id, kw1_category, kw1_score, CASE WHEN kw1_score > 0 THEN kw1_category ELSE b.kw_category END AS category,
+       b.kw_score AS base_score, CASE WHEN kw1_score > 0 THEN 'keyword_override' ELSE 'model' END AS method
+FROM ({PHRASE_V1}) v JOIN ({keyword_best_sql(LANG_LEXICON)}) b ON b.id = v.id""",
+})

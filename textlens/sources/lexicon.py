@@ -64,6 +64,20 @@ def lexicon_frame(spark: SparkSession, lexicon: Lexicon) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A dictionary file ``{category: [phrase, ...], ...}`` as a table (kw_id, category, cat_order, keyword).
+
+    Read by Spark, so the path may be in any store; order and repeats are kept.  One file is one JSON
+    value and so one task, which only unfolds it; a dictionary that outgrows this belongs in a table
+    of the same columns.
+    """
+    groups = F.map_entries(F.from_json("value", "map<string,array<string>>"))
+    entries = F.flatten(F.transform(groups, lambda g, i: F.transform(g["value"], lambda k: F.struct(
+        g["key"].alias("category"), i.cast("int").alias("cat_order"), k.alias("keyword")))))
+    each = spark.read.text(path, wholetext=True).select(F.posexplode(entries).alias("kw_id", "e"))
+    return each.select("kw_id", "e.category", "e.cat_order", "e.keyword")
+
+
 def lexicon_literal(lexicon: Lexicon, lower: bool = True):
     """The lexicon as one literal ARRAY<STRUCT<kw_id, category, cat_order, keyword, weight>>.
 
