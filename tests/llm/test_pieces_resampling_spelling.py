@@ -35,32 +35,33 @@ def odd_texts(n=800, seed=1):
     return ["", " ", "▁", "  a", "a  ", "▁ x ▁"] + ["".join(rng.choices(ODD, k=rng.randint(0, 12))) for _ in range(n)]
 
 
-def test_chunks_encode_and_decode_like_the_library(library):
-    encode, decode = S._encoder(MODEL), S._decoder(MODEL)
-    for t in odd_texts():
-        ids = library.encode(t)
-        assert np.frombuffer(encode(t), "<u4").tolist() == ids, repr(t)
-        assert decode(np.asarray([1, *ids, 2], "<u4").tobytes()) == library.decode([1, *ids, 2]), repr(t)
-
-
-def test_any_ids_decode_like_the_library(library):
-    decode, rng = S._decoder(MODEL), random.Random(2)
-    marks = [i for i in range(32000) if library.id_to_piece(i).startswith("▁▁")]
-    for _ in range(1500):
-        ids = [rng.choice([rng.randrange(32000), rng.randrange(0, 260), rng.choice(marks), 1, 2, 0]) for _ in range(rng.randint(0, 9))]
-        assert decode(np.asarray(ids, "<u4").tobytes()) == library.decode(ids), ids
-    with pytest.raises(ValueError):
-        decode(np.asarray([32000], "<u4").tobytes())
+def test_chunks_encode_like_the_library(library):
+    encode = S._encoder(MODEL)
+    texts = odd_texts()
+    for t, ids in zip(texts, encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(t), repr(t)
 
 
 def test_tables_begin_anew_without_a_change(library, monkeypatch):
-    monkeypatch.setattr(S, "TABLE_ROWS", 3)
-    monkeypatch.setattr(S, "SLICE", 2)
-    encode, decode = S._encoder.__wrapped__(MODEL), S._decoder.__wrapped__(MODEL)
-    for t in odd_texts(200, 3):
-        ids = library.encode(t)
-        assert np.frombuffer(encode(t), "<u4").tolist() == ids
-        assert decode(encode(t)) == library.decode(ids)
+    for rows, size in ((3, 2), (40, 1000), (10**6, 3)):
+        monkeypatch.setattr(S, "TABLE_ROWS", rows)
+        monkeypatch.setattr(S, "SLICE", size)
+        encode, texts = S._encoder.__wrapped__(MODEL), odd_texts(200, 3)
+        got = encode(texts[:100]) + [encode([t])[0] for t in texts[100:]]
+        for t, ids in zip(texts, got):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t), repr(t)
+
+
+def test_each_distinct_chunk_is_segmented_once(library):
+    asked = []
+
+    class Counting:
+        def encode(self, x, **more):
+            asked.extend(x if isinstance(x, list) else [])
+            return library.encode(x, **more)
+
+    S._Table(Counting()).encode(["the cat the cat", "a cat", "", "  cat"])
+    assert sorted(asked) == ["a", "cat", "the", "▁▁cat"]
 
 
 def test_models_whose_chunks_depend_on_each_other_are_refused(monkeypatch):
@@ -137,9 +138,17 @@ def test_scan_gives_the_words_in_order():
     assert got == collections.Counter((k, zlib.crc32(g.encode()) % 10000) for k, t in enumerate(texts) for g in grams(t))
 
 
-@pytest.mark.parametrize("block", [1, 4_000_000])
-def test_resampling_equals_plain_python(spark, docs_of, monkeypatch, block):
-    monkeypatch.setattr(I, "BLOCK_BYTES", block)
+def test_blocks_hold_every_text_once(monkeypatch):
+    import pyarrow as pa
+    texts = ["aa", None, "", "bbbbbbbb", "c", "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["id", "text"])
+    for size in (1, 3, 100):
+        monkeypatch.setattr(I, "BLOCK_BYTES", size)
+        got = [(i, t) for ids, block in I._blocks([batch]) for i, t in zip(ids.to_pylist(), block, strict=True)]
+        assert got == [(i, (t or "").encode()) for i, t in enumerate(texts)]
+
+
+def test_resampling_equals_plain_python(spark, docs_of):
     rng = random.Random(5)
     words = ["alpha", "Beta", "é", "x1", "中文", "the", "of", "zz" * 50, "q"]
     rows = [(i, " ".join(rng.choices(words, k=rng.choice([0, 2, 19, 20, 25, 90])))) for i in range(300)]

@@ -5,12 +5,12 @@ the vocabulary has a mark behind another character (``_model`` refuses a model w
 no merge joins a character and a mark behind it, so a text is the concatenation of its chunks:
 a run of marks with the characters up to the next mark.  Chunks repeat; each task keeps a table
 chunk -> ids, asks the library once for every distinct chunk, and joins the ids back by position.
-Decoding is the same table the other way: ids are cut before each piece that begins with a mark.
+Decoding needs no table: the library's own decoder walks over the ids of a whole text.
 
 Plan: two map-only steps (``mapInArrow``); nothing is shuffled, collected or broadcast, and a lost
-task is run again from its input split.  The table holds at most ``TABLE_CHARS`` characters and
-``TABLE_ROWS`` chunks and is begun anew beyond that, which costs time and changes no result; a text
-is worked through in slices of ``SLICE`` chunks, so a very long one needs its ids and no more.
+task is run again from its input split.  New chunks are collected over blocks of ``BLOCK`` characters
+(or one longer text, in slices of ``SLICE`` chunks) and segmented in one call.  The table is begun
+anew beyond ``TABLE_ROWS`` chunks or ``TABLE_CHARS`` characters, which costs time and changes no result.
 
 Defined results: a null text is empty, an empty text is the begin and the end id; repeated rows and
 null ids stay as they are; an empty table gives no rows; other columns of the input are not read.
@@ -21,14 +21,16 @@ from __future__ import annotations
 
 import functools
 import re
+import struct
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MARK = "▁"
-TABLE_ROWS = 200_000
+TABLE_ROWS = 300_000
 TABLE_CHARS = 20_000_000
-SLICE = 500_000
+BLOCK = 2_000_000
+SLICE = 300_000
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -47,24 +49,43 @@ def _model(path: str):
     return sp
 
 
-class _Table(dict):
-    """key -> value, each made once by ``make`` from a list of new keys; begun anew when full."""
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.chars = make, 0
 
-    def values_of(self, keys: list) -> list:
-        """The value of every key, in order."""
-        new = list(set(keys).difference(self))
+class _Table:
+    """Distinct chunks of the texts that a task has seen, and their ids."""
+
+    def __init__(self, sp):
+        self.sp, self.ids, self.chars = sp, {}, 0
+        # The library adds no mark to an empty text, so the chunk of one mark is read from a text that ends with it.
+        self.mark = _packed(sp.encode("a ")[len(sp.encode("a")):])
+
+    def learn(self, keys: set[str]) -> None:
+        """Segment the keys that are not in the table, each once."""
+        new = [k for k in keys if k not in self.ids]
+        if len(self.ids) + len(new) > TABLE_ROWS or self.chars > TABLE_CHARS:
+            self.ids, self.chars, new = {"": self.mark}, 0, [k for k in keys if k]
+        elif "" in new:
+            self.ids[""] = self.mark
+            new.remove("")
         if new:
-            if len(self) + len(new) > TABLE_ROWS or self.chars > TABLE_CHARS:
-                for k in [k for k in self if k]:
-                    del self[k]
-                self.chars, new = 0, list(set(keys).difference(self))
             self.chars += sum(map(len, new))
-            self.update(zip(new, self.make(new)))
-        return [self[k] for k in keys]
+            self.ids.update(zip(new, map(_packed, self.sp.encode(new, num_threads=1))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of every text, without begin and end."""
+        parts = [chunks(t) for t in texts]
+        if sum(map(len, parts)) <= SLICE:
+            self.learn(set().union(*parts))
+            return [b"".join(map(self.ids.__getitem__, p)) for p in parts]
+        return [b"".join(self._slices(p)) for p in parts]
+
+    def _slices(self, part: list[str]):
+        for i in range(0, len(part), SLICE):
+            own = part[i:i + SLICE]
+            self.learn(set(own))
+            yield b"".join(map(self.ids.__getitem__, own))
 
 
 def chunks(text: str) -> list[str]:
@@ -78,67 +99,35 @@ def chunks(text: str) -> list[str]:
 
 @functools.lru_cache(maxsize=2)
 def _encoder(path: str):
-    """text -> ids as bytes, without begin and end."""
-    import numpy as np
+    return _Table(_model(path)).encode
 
-    sp = _model(path)
-    table = _Table(lambda new: [np.asarray(ids, "<u4").tobytes() for ids in sp.encode(new, num_threads=1)])
-    # The library adds no mark to an empty text, so the chunk of one mark is read from a text that ends with it.
-    table[""] = np.asarray(sp.encode("a ")[len(sp.encode("a")):], "<u4").tobytes()
-
-    def encode(text: str) -> bytes:
-        parts = chunks(text)
-        return b"".join(b"".join(table.values_of(parts[i:i + SLICE])) for i in range(0, len(parts), SLICE))
-
-    return encode
 
-
-@functools.lru_cache(maxsize=2)
 def _decoder(path: str):
-    """ids as bytes -> text."""
+    """ids of texts as bytes -> the texts."""
     import numpy as np
 
     sp = _model(path)
-    n = sp.get_piece_size()
-    starts = np.array([sp.id_to_piece(i).startswith(MARK) for i in range(n)])
-    silent = np.array([sp.is_control(i) for i in range(n)])
-
-    def texts(new: list[bytes]) -> list[str]:
-        # The library drops the mark at the start of what it decodes; inside a text it is a space.
-        ids = [np.frombuffer(b, "<u4").tolist() for b in new]
-        return [" " * bool(starts[i[0]]) + t for i, t in zip(ids, sp.decode(ids))]
-
-    table = _Table(texts)
-
-    def decode(data: bytes) -> str:
-        ids = np.frombuffer(data, "<u4")
-        if ids.size and int(ids.max()) >= n:
-            raise ValueError(f"id {int(ids.max())} is not one of the {n} pieces")
-        # Control ids give no text; inside, they still end a run of bytes, so only those in front go.
-        spoken = np.flatnonzero(~silent[ids])
-        if not spoken.size:
-            return ""
-        ids = ids[spoken[0]:]
-        data, cuts = ids.tobytes(), (4 * np.flatnonzero(starts[ids])).tolist()
-        cuts = [0] * (not cuts or cuts[0] > 0) + cuts + [len(data)]
-        out = []
-        for i in range(0, len(cuts) - 1, SLICE):
-            at = cuts[i:i + SLICE + 1]
-            out += table.values_of([data[a:b] for a, b in zip(at, at[1:])])
-        return "".join(out)[int(starts[ids[0]]):]
-
-    return decode
+    return lambda data: sp.decode([np.frombuffer(d, "<u4").tolist() for d in data], num_threads=1)
 
 
 def _mapped(df: DataFrame, source: str, target: str, kind: str, function) -> DataFrame:
-    """``df`` with ``target`` = function(source), in Arrow batches."""
+    """``df`` with ``target``: ``function()`` applied to the list of values of ``source`` of a block of rows."""
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         apply = function()
         for batch in batches:
-            values = pa.array((apply(x.as_py()) for x in batch.column(source)), pa.binary() if kind == "binary" else pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, target])
+            sizes, at, values = pc.fill_null(pc.binary_length(batch.column(source)), 0).to_pylist(), 0, []
+            while at < len(sizes):
+                end, total = at + 1, sizes[at]
+                while end < len(sizes) and total + sizes[end] <= BLOCK:
+                    total += sizes[end]
+                    end += 1
+                values += apply(batch.column(source).slice(at, end - at).to_pylist())
+                at = end
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.binary() if kind == "binary" else pa.string())],
+                                             [*batch.schema.names, target])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
     return df.mapInArrow(run, f"{fields}, `{target}` {kind}")
@@ -148,8 +137,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """(doc_id, ids) of every row: the begin id, the text's ids, the end id."""
     def function():
         sp, pieces = _model(model), _encoder(model)
-        begin, end = (i.to_bytes(4, "little") for i in (sp.bos_id(), sp.eos_id()))
-        return lambda text: begin + pieces(text or "") + end
+        begin, end = _packed([sp.bos_id()]), _packed([sp.eos_id()])
+        return lambda texts: [begin + ids + end for ids in pieces([t or "" for t in texts])]
 
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     return _mapped(d, "text", "ids", "binary", function).select("doc_id", "ids")
@@ -158,7 +147,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """``encoded`` with a column ``decoded``: what the library's ``decode`` gives for ``ids``."""
     return _mapped(encoded.select("doc_id", "ids"), "ids", "decoded", "string",
-                   lambda: lambda data, one=_decoder(model): one(data or b""))
+                   lambda: lambda data, texts=_decoder(model): texts([d or b"" for d in data]))
 
 
 def n_ids(ids: Column) -> Column:
