@@ -131,7 +131,7 @@ def test_empty_dictionary_and_empty_table(spark):
     assert {r["kw_id"] for r in P.hits(rows, "text", index, ["id"]).collect()} == {0, None}
 
 
-def test_broadcast_form_shuffles_no_text(spark, case):
+def test_broadcast_form_shuffles_sums_only(spark, case):
     entries, _ = case
     index = P.PhraseIndex.build(lexicon_frame(spark, Lexicon(tuple(entries))))
     rows = spark.createDataFrame([(1, "a b")], "id int, text string")
@@ -140,6 +140,29 @@ def test_broadcast_form_shuffles_no_text(spark, case):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and len(shuffles) == 1
 
 
+def test_lookup_across_slices(spark, case, monkeypatch):
+    entries, texts = case
+    index = P.PhraseIndex.build(lexicon_frame(spark, Lexicon(tuple(entries))))
+    table = index.table.select("h", "at", "kw_id", "keyword").toArrow()
+    whole = [x.tolist() for x in P._Lookup(table, index.bitmap, index.sizes)(texts)]
+    assert sum(map(len, whole)) > 1000
+    monkeypatch.setattr(P, "SLICE", 5)
+    assert [x.tolist() for x in P._Lookup(table, index.bitmap, index.sizes)(texts)] == whole
+
+
+def test_learned_dictionary_equals_plain_counts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["b", "a", None]), " ".join(rng.choices(["one", "two", "three", "x", "four"], k=rng.randint(0, 9)))) for _ in range(80)]
+    n = collections.defaultdict(collections.Counter)
+    for c, t in rows:
+        w = [x for x in t.split() if len(x) > 1]
+        n[c].update(f"{x} {y}" for x, y in zip(w, w[1:]))
+    for k in (1, 3, 7, 100):
+        want = [(o * k + r, c, o, p) for o, c in enumerate("ab") for r, (p, _) in enumerate(sorted(n[c].items(), key=lambda e: (-e[1], e[0]))[:k])]
+        got = P.learned_dictionary(spark.createDataFrame(rows, "category string, text string"), "text", "category", k)
+        assert [tuple(r) for r in got.orderBy("kw_id").collect()] == want
+
+
 def test_dictionary_read_by_spark(spark, tmp_path):
     (tmp_path / "lexicon.json").write_text('{"b": ["two words", "x"], "a": ["x", "é"], "empty": []}', encoding="utf-8")
     got = [tuple(r) for r in read_lexicon(spark, str(tmp_path / "lexicon.json")).orderBy("kw_id").collect()]

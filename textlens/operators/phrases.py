@@ -9,17 +9,17 @@ Index.  Each phrase is keyed by one of its character grams, of the largest size
 fits into it; among those, by the gram that the fewest phrases of the dictionary hold.  A text that
 contains the phrase contains that gram.  The keys also go into a bitmap of fixed size.
 
-Texts emit the 64-bit hashes of their grams whose bit is set, each once (vectorised over code points
-in Arrow batches, linear in the text, slices of bounded size).  The hashes meet the index in an
-equi-join, and ``contains`` settles every candidate, so collisions of the hash or the bitmap cost
-time and change no result.
+Texts are hashed gram by gram (64 bits, vectorised over code points in Arrow batches, linear in the
+text, slices of bounded size), and only grams whose bit is set go on.  Every candidate is settled by
+comparing the strings themselves, so collisions of the hash or the bitmap cost time and change no result.
 
-Two physical forms of that join give the same rows, chosen by the measured bytes of the index:
+Two physical forms give the same rows, chosen by the measured bytes of the index:
 
-* up to ``BROADCAST_BYTES`` the index is broadcast and the text is still beside its hashes, so
-  nothing but hits is shuffled;
-* beyond, (row, hash) pairs are shuffled to the index and candidates back to the texts, which are
-  written once and shuffled once; a hash that many texts emit is split by AQE's skew handling.
+* up to ``BROADCAST_BYTES`` the index is sent once to every executor as sorted arrays; a gram found
+  there names its phrases and where they would begin, and the text is compared in place.  Nothing
+  but hits leaves the task;
+* beyond, (row, hash) pairs are shuffled to the index in an equi-join and candidates back to the texts,
+  which are written once and shuffled once; a hash that many texts emit is split by AQE's skew handling.
 
 Nothing is capped: neither phrases, nor hits of a text, nor texts of a phrase.
 Defined results: a null text has no hits; an empty phrase is in every text that is not null, as any
@@ -74,32 +74,37 @@ def _lists(values):
     import pyarrow as pa
 
     ends = np.cumsum([0, *map(len, values)]).astype("i4")
-    flat = np.concatenate(values) if values else np.empty(0, "u8")
+    flat = np.concatenate(values) if values else np.empty(0, "i8")
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat.view("i8")))
 
 
-def _mapped(df: DataFrame, source: str, target: str, function) -> DataFrame:
-    """``df`` with a column ``target`` of longs: ``function`` of the batch's strings in ``source``."""
+def _mapped(df: DataFrame, source: str, target: str, function, drop: bool = False) -> DataFrame:
+    """``df`` with a column ``target`` of longs: ``function()`` applied to a batch's strings in ``source``,
+    which stays unless ``drop`` is set."""
+    keep = [f for f in df.schema.fields if not (drop and f.name == source)]
+    names = [f.name for f in keep]
+
     def run(batches):
         import pyarrow as pa
 
+        apply = function()
         for batch in batches:
-            values = _lists(function(batch.column(source).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, target])
+            values = _lists(apply(batch.column(source).to_pylist()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), values], [*names, target])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keep)
     return df.mapInArrow(run, f"{fields}, `{target}` array<bigint>")
 
 
 def _phrase_grams(phrases: list[str]) -> list:
-    """Of each phrase the hashes of its grams of the largest size that fits; of an empty phrase ``EMPTY``."""
+    """Of each phrase the hashes of its grams of the largest size that fits, in order; of an empty phrase ``EMPTY``."""
     import numpy as np
 
     out = []
     for p in phrases:
         size = next((s for s in SIZES if s <= len(p)), 0)
         code = np.frombuffer(p.encode("utf-32-le"), "<u4").astype("u8")
-        out.append(np.unique(_hashes(code, size)) if size else np.full(1, EMPTY, "u8"))
+        out.append(_hashes(code, size) if size else np.full(1, EMPTY, "u8"))
     return out
 
 
@@ -124,13 +129,66 @@ def _text_grams(words, sizes):
     return emit
 
 
+class _Lookup:
+    """The index as sorted arrays: texts -> the numbers of the phrases in them."""
+
+    def __init__(self, table, words, sizes):
+        import numpy as np
+
+        order = np.argsort(table.column("h").to_numpy().view("u8"), kind="stable")
+        table = table.take(order)
+        self.words, self.sizes = words, [s for s in sizes if s]
+        self.h = table.column("h").to_numpy().view("u8")
+        self.at, self.kw_id = table.column("at").to_numpy(), table.column("kw_id").to_numpy().astype("i8")
+        self.keywords = table.column("keyword").to_pylist()
+        self.length = np.array([len(k) for k in self.keywords], "i8")
+        self.empty = np.flatnonzero(self.length == 0).tolist()
+        self.last = np.array([ord(k[-1]) if k else 0 for k in self.keywords], "u8")
+
+    def candidates(self, part):
+        """(place, phrase) for the grams of a run of code points: where the phrase would begin."""
+        import numpy as np
+
+        for size in self.sizes:
+            if len(part) < size:
+                continue
+            h = _hashes(part, size)
+            p = np.flatnonzero(_in_bitmap(h, self.words))
+            lo, hi = np.searchsorted(self.h, h[p]), np.searchsorted(self.h, h[p], side="right")
+            n = hi - lo
+            place = np.repeat(p, n)
+            phrase = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+            yield place - self.at[phrase], phrase
+
+    def found(self, text: str) -> list[int]:
+        import numpy as np
+
+        code, keywords, out = np.frombuffer(text.encode("utf-32-le"), "<u4"), self.keywords, set(self.empty)
+        for start in range(0, len(code), SLICE):
+            for place, phrase in self.candidates(code[start:start + SLICE + SIZES[0] - 1].astype("u8")):
+                place = place + start
+                end = place + self.length[phrase]
+                may = (place >= 0) & (end <= len(code)) & (self.length[phrase] > 0)
+                may[may] = code[end[may] - 1] == self.last[phrase[may]]
+                for i, j, k in zip(place[may].tolist(), end[may].tolist(), phrase[may].tolist()):
+                    if k not in out and text[i:j] == keywords[k]:
+                        out.add(k)
+        return np.sort(self.kw_id[list(out)]) if out else np.empty(0, "i8")
+
+    def __call__(self, texts: list) -> list:
+        import numpy as np
+
+        return [np.empty(0, "i8") if t is None else self.found(t) for t in texts]
+
+
 # ---------------------------------------------------------------- index
 
 @dataclass(frozen=True)
 class PhraseIndex:
     """A dictionary made ready for texts.
 
-    ``table`` is (h, kw_id, category, cat_order, keyword, weight), written once.  The driver holds the
+    ``table`` is (h, at, kw_id, category, cat_order, keyword, weight), written once: the key gram, its
+    place in the phrase, and the phrase.  The driver holds the
     bitmap, the gram sizes in use (0 for empty phrases), the category that comes first and the size of
     the table: nothing that grows.
     """
@@ -154,12 +212,12 @@ class PhraseIndex:
         low = F.lower("keyword")
         phrases = dictionary.filter(F.col("keyword").isNotNull()).select(
             "kw_id", "category", "cat_order", (F.trim(low) if squeeze else low).alias("keyword"), keyword_weight(low).alias("weight"))
-        grams = materialize(_mapped(phrases, "keyword", "grams", _phrase_grams), "phrase_grams")
-        each = grams.select("kw_id", F.explode("grams").alias("h"))
+        grams = materialize(_mapped(phrases, "keyword", "grams", lambda: _phrase_grams), "phrase_grams")
+        each = grams.select("kw_id", F.posexplode("grams").alias("at", "h"))
         held = each.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-        rarest = each.join(held, "h").groupBy("kw_id").agg(F.min(F.struct("n", "h"))["h"].alias("h"))
+        rarest = each.join(held, "h").groupBy("kw_id").agg(F.min(F.struct("n", "h", "at")).alias("g")).select("kw_id", "g.h", "g.at")
         table = materialize(grams.drop("grams").join(rarest, "kw_id"), "phrase_index").select(
-            "h", "kw_id", "category", "cat_order", "keyword", "weight")
+            "h", "at", "kw_id", "category", "cat_order", "keyword", "weight")
 
         bit = F.shiftrightunsigned("h", 64 - BITMAP_BITS)
         words = (table.select(F.shiftright(bit, 6).alias("word"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - BITMAP_BITS}) & 63 as int))").alias("bit"))
@@ -179,20 +237,21 @@ def hits(df: DataFrame, text_col: str, index: PhraseIndex, keep: list[str], broa
     for every row one further record whose phrase columns are null, so that rows without hits stay."""
     norm = normalize_text(F.col(text_col)) if index.squeezed else F.lower(F.col(text_col))
     rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, norm.alias("_norm"))
-    emitted = _mapped(rows, "_norm", "_hashes", _text_grams(index.bitmap, index.sizes))
     entry = ["kw_id", "category", "cat_order", "keyword", "weight"]
-    found = F.contains(F.col("_norm"), F.col("keyword"))
+    words, sizes = index.bitmap, index.sizes
     if index.bytes <= broadcast_bytes:
-        each = emitted.select("_row", *keep, "_norm", F.explode(F.concat("_hashes", F.array(F.lit(None).cast("long")))).alias("h"))
-        out = each.join(F.broadcast(index.table), "h", "left").filter(F.col("h").isNull() | found).select("_row", *keep, *entry)
-    else:
-        # Row numbers are used twice, so they are written with their texts.
-        emitted = materialize(emitted, "phrase_texts")
-        pairs = emitted.select("_row", F.explode("_hashes").alias("h")).join(index.table, "h").select("_row", *entry)
-        hit = pairs.join(emitted.select("_row", *keep, "_norm"), "_row").filter(found).select("_row", *keep, *entry)
-        none = [F.lit(None).cast(index.table.schema[c].dataType).alias(c) for c in entry]
-        out = hit.unionByName(emitted.select("_row", *keep, *none))
-    return out
+        sent = df.sparkSession.sparkContext.broadcast(index.table.select("h", "at", "kw_id", "keyword").toArrow())
+        found = _mapped(rows, "_norm", "_kw", lambda: _Lookup(sent.value, words, sizes), drop=True)
+        each = found.select("_row", *keep, F.explode(F.concat("_kw", F.array(F.lit(None).cast("long")))).alias("_id"))
+        phrases = index.table.select(F.col("kw_id").cast("long").alias("_id"), *entry)
+        return each.join(F.broadcast(phrases), "_id", "left").select("_row", *keep, *entry)
+    # Row numbers are used twice, so they are written with their texts.
+    emitted = materialize(_mapped(rows, "_norm", "_hashes", lambda: _text_grams(words, sizes)), "phrase_texts")
+    pairs = emitted.select("_row", F.explode("_hashes").alias("h")).join(index.table, "h").select("_row", *entry)
+    hit = (pairs.join(emitted.select("_row", *keep, "_norm"), "_row").filter(F.contains(F.col("_norm"), F.col("keyword")))
+           .select("_row", *keep, *entry))
+    none = [F.lit(None).cast(index.table.schema[c].dataType).alias(c) for c in entry]
+    return hit.unionByName(emitted.select("_row", *keep, *none))
 
 
 # ---------------------------------------------------------------- K1-K5 on hits
@@ -236,7 +295,15 @@ def learned_dictionary(df: DataFrame, text_col: str, label_col: str, per_class:
     """
     tok = df.filter(F.col(label_col).isNotNull()).select(F.col(label_col).alias("category"), tokens(F.col(text_col)).alias("tk"))
     counts = tok.select("category", F.explode(bigrams("tk")).alias("keyword")).groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("n"))
-    top = top_k_per_group(counts, ["category"], [F.col("n").desc(), F.col("keyword").asc()], per_class, salt=F.xxhash64("keyword"))
+    # Of the histogram of counts: the count of a class's last phrase.  Rarer phrases are not sorted.
+    above = Window.partitionBy("category").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    least = (counts.groupBy("category", "n").agg(F.count(F.lit(1)).alias("m"))
+             .withColumn("above", F.coalesce(F.sum("m").over(above), F.lit(0))).filter(F.col("above") < per_class)
+             .groupBy("category").agg(F.min("n").alias("least")))
+    frequent = counts.join(F.broadcast(least), "category").filter(  # one row a class
+        F.col("n") >= F.col("least")).drop("least")
+    top = materialize(top_k_per_group(frequent, ["category"], [F.col("n").desc(), F.col("keyword").asc()], per_class, salt=F.xxhash64("keyword")),
+                      "phrase_dictionary")
     labels = top.select("category").distinct().select("category", (F.dense_rank().over(Window.orderBy("category")) - 1).alias("cat_order"))
     return top.join(labels, "category").select((F.col("cat_order").cast("long") * per_class + F.col("rank") - 1).alias("kw_id"),
                                                "category", "cat_order", "keyword")

@@ -49,6 +49,56 @@ def group_split(df: DataFrame, group_col: str, test_size: float = TEST_SIZE, see
     return df.join(side, group_col, "left")
 
 
+def balanced_group_split(df: DataFrame, id_col: str, group_col: str, label_col: str, test_size: float = TEST_SIZE,
+                         seed: int = SEED) -> DataFrame:
+    """D2 with classes in balance: no group crosses sides, and each class has ``test_size`` of its rows in
+    'test', as nearly as its groups allow and never more.
+
+    A group counts for the class of its smallest id (no label is a class of its own).  Per class the groups
+    are taken from the largest size down, as many of each size as still fit; equal sizes are interchangeable, so
+    this greedy assignment runs on the (class, size) histogram: at most sqrt(2 * rows) sizes a class.  Which
+    groups of a size are taken follows from the hash order, ranked by the skew-safe window.
+    """
+    from textlens.session import materialize
+
+    label = F.coalesce(F.col(label_col).cast("string"), F.lit(""))
+    groups = materialize(df.groupBy(F.col(group_col).alias("_g")).agg(F.min_by(label, F.col(id_col)).alias("_class"),
+                                                                     F.count(F.lit(1)).alias("_size")), "split_groups")
+    hist = groups.groupBy("_class", "_size").agg(F.count(F.lit(1)).alias("_m"))
+
+    def greedy(rows):
+        rows = rows.sort_values("_size", ascending=False)
+        # half away from zero, as the other splits round
+        left, take = int(test_size * int((rows["_size"] * rows["_m"]).sum()) + 0.5), []
+        for size, m in zip(rows["_size"], rows["_m"]):
+            take.append(min(int(m), left // int(size)))
+            left -= take[-1] * int(size)
+        return rows.assign(_take=take)[["_class", "_size", "_take"]]
+
+    takes = hist.groupBy("_class").applyInPandas(greedy, "_class string, _size long, _take long")
+    ranked = rank_within_group(groups.withColumn("_key", seeded_hash("_g", seed)), ["_class", "_size"], "_key", "_g", out_col="_rn")
+    side = ranked.join(takes, ["_class", "_size"]).select(
+        F.col("_g").alias(group_col), F.when(F.col("_rn") <= F.col("_take"), "test").otherwise("train").alias("split"))
+    return df.join(side, group_col, "left")
+
+
+def leaks(split_df: DataFrame, id_col: str, pairs: DataFrame, members: DataFrame, split_col: str = "split") -> DataFrame:
+    """One row: how far a split keeps likeness on one side.
+
+    ``pairs`` (i, j) are similar texts by their representatives, ``members`` (id, rid) gives every row
+    its representative.  ``copies_across``: texts with rows on both sides; ``pairs_across``: similar pairs of
+    texts with a row of one on either side of a row of the other.
+    """
+    sides = (split_df.select(F.col(id_col).alias("id"), split_col).join(members.select("id", "rid"), "id")
+             .groupBy("rid").agg(F.bit_or(F.when(F.col(split_col) == "test", 1).otherwise(2)).alias("s")))
+    i, j = (sides.select(F.col("rid").alias(c), F.col("s").alias(f"s{c}")) for c in ("i", "j"))
+    both = (F.col("si").bitwiseOR(F.col("sj")) == 3)
+    across = pairs.select("i", "j").join(i, "i").join(j, "j").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.count_if(both).alias("pairs_across"))
+    copies = sides.agg(F.count_if(F.col("s") == 3).alias("copies_across"))
+    return across.withColumn("_k", F.lit(0)).join(copies.withColumn("_k", F.lit(0)), "_k").select("n_pairs", "pairs_across", "copies_across")
+
+
 def split_report(split_df: DataFrame, label_col: str, split_col: str = "split") -> DataFrame:
     """Rows per (split, class)."""
     return split_df.groupBy(split_col, label_col).agg(F.count(F.lit(1)).alias("n"))

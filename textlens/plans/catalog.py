@@ -496,39 +496,72 @@ QUERIES.update({
 })
 
 
-# ---------------------------------------------------------------- Spark ML linear models (rows-only checks)
+# ---------------------------------------------------------------- linear models on the full vocabulary (T-LR, T-SVM, T-CV)
 
-from textlens.functions.text import tokens, unigrams_bigrams  # noqa: E402
-from textlens.operators import models as MD  # noqa: E402
+from textlens.operators import linear as LN  # noqa: E402
 
 
-def _linear_predict(spark, sf_dir, kind: str) -> DataFrame:
-    d = labelled(spark, sf_dir)
-    s = split_frame(spark, sf_dir).select("id", "split")
-    from textlens.session import materialize
+def _linear_fit(spark, sf_dir, kind: str) -> LN.Fit:
+    assign = split_frame(spark, sf_dir).select(F.lit(0).alias("key"), "id", F.col("split").alias("side"))
+    return LN.fit(labelled(spark, sf_dir), assign, "id", "text", "category", kind)
 
-    g = materialize(d.join(s, "id").select("id", "category", "split", tokens(F.col("text")).alias("tk"))
-                    .select("id", "category", "split", unigrams_bigrams("tk").alias("grams")), "ml_grams")
-    model = MD.fit_linear(g.filter(F.col("split") == "train"), kind)
-    out = MD.predict_linear(model, g.filter(F.col("split") == "test"))
-    return out.select("id", F.col("category").alias("actual"), "predicted")
+
+def _linear_predict(spark, sf_dir, kind: str) -> DataFrame:
+    p = _linear_fit(spark, sf_dir, kind).predictions().select("id", "predicted")
+    return p.join(labelled(spark, sf_dir).select("id", F.col("category").alias("actual")), "id").select("id", "actual", "predicted")
 
 
 def q_lr_predict(spark, sf_dir):
+    """T-LR: multinomial logistic regression, trained on one side of the split and applied to the other."""
     return _linear_predict(spark, sf_dir, "lr")
 
 
 def q_svm_predict(spark, sf_dir):
+    """T-SVM: one-against-the-rest SVM with squared hinge loss on the same split."""
     return _linear_predict(spark, sf_dir, "svm")
 
 
+def q_lr_cv_macro_f1(spark, sf_dir):
+    """T-CV: five folds of logistic regression, all trained in the same passes."""
+    d = labelled(spark, sf_dir)
+    folds = D.kfold_assign(d.select("id", "category"), "id", "category")
+    side = F.when(F.col("fold") == F.col("key"), "test").otherwise("train").alias("side")
+    assign = folds.select("id", "fold", F.explode(F.sequence(F.lit(0), F.lit(D.N_FOLDS - 1))).alias("key")).select("key", "id", side)
+    pred = LN.fit(d, assign, "id", "text", "category").predictions().join(d.select("id", F.col("category").alias("actual")), "id")
+    per_fold = E.summary(pred, "actual", "predicted", by=["key"])
+    return per_fold.agg(F.round(F.avg("macro_f1"), R).alias("mean_macro_f1"),
+                        F.round(F.stddev_pop("macro_f1"), R).alias("std_macro_f1"),
+                        F.count(F.lit(1)).alias("folds"))
+
+
+def q_lr_fit_report(spark, sf_dir):
+    """What the logistic regression was trained on, and whether its solver ended as it should."""
+    f = _linear_fit(spark, sf_dir, "lr")
+    values = [h["objective"] for h in f.history]
+    sides = split_frame(spark, sf_dir).agg(F.count_if(F.col("split") == "train").alias("n_train"), F.count_if(F.col("split") == "test").alias("n_test"))
+    n_terms = f.terms.count()  # a number
+    return sides.select(
+        "n_train", "n_test", F.lit(n_terms).cast("long").alias("n_terms"), F.lit(len(f.labels)).cast("long").alias("n_classes"), F.lit(all(f.converged)).alias("converged"),
+        F.lit(all(a >= b for a, b in zip(values, values[1:]))).alias("objective_falls"))
+
+
+def q_linear_comparison(spark, sf_dir):
+    """Both linear models and naive Bayes on the same hold-out rows."""
+    return E.comparison([E.summary(_linear_predict(spark, sf_dir, "lr"), "actual", "predicted", model="logistic_regression"),
+                         E.summary(_linear_predict(spark, sf_dir, "svm"), "actual", "predicted", model="linear_svm"),
+                         E.summary(nb_holdout(spark, sf_dir), "actual", "predicted", model="naive_bayes")])
+
+
 QUERIES.update({
     "lr_predict": q_lr_predict,
     "svm_predict": q_svm_predict,
+    "lr_cv_macro_f1": q_lr_cv_macro_f1,
+    "lr_fit_report": q_lr_fit_report,
+    "linear_comparison": q_linear_comparison,
 })
 
-# Queries without an exact SQL oracle (iterative solvers): the driver checks rows only.
-ROWS_ONLY = {"lr_predict", "svm_predict"}
+# Queries without an exact SQL oracle.
+ROWS_ONLY: set[str] = set()
 
 
 # ---------------------------------------------------------------- shape, text flags, head, error totals
@@ -624,3 +657,109 @@ QUERIES.update({
     "phrase_first_gen": q_phrase_first_gen,
     "phrase_first_gen_decision": q_phrase_first_gen_decision,
 })
+
+
+# ---------------------------------------------------------------- a base model that reads the text (T-base, M4, M5, T1)
+
+from textlens.operators.text_model import TextModel  # noqa: E402
+
+
+def _text_model(spark, sf_dir) -> TextModel:
+    """Naive Bayes on the training side of the stratified split."""
+    train = D.rows_of_split(labelled(spark, sf_dir), split_frame(spark, sf_dir), "id", "train")
+    return TextModel.naive_bayes(train, "id", "text", "category")
+
+
+def _ladder(model: TextModel, rows: DataFrame) -> DataFrame:
+    out = M.score(model.score(rows, "text"), "text", "probs", model.labels, LANG_LEXICON)
+    return out.select("id", F.col("category_true").alias("actual"), "base_category", F.round("base_confidence", R).alias("base_confidence"),
+                      "kw_category", "kw_score", "rule", "category", F.round("confidence", R).alias("confidence"), "method",
+                      join_list("matched_keywords").alias("matched_keywords"))
+
+
+def _test_rows(d: DataFrame, spark, sf_dir) -> DataFrame:
+    return D.rows_of_split(d, split_frame(spark, sf_dir), "id", "test").withColumnRenamed("category", "category_true")
+
+
+def q_hybrid_nb_predict(spark, sf_dir):
+    """M4, M5: the ladder over naive Bayes, trained on one side of the split and applied to the other."""
+    return _ladder(_text_model(spark, sf_dir), _test_rows(labelled(spark, sf_dir), spark, sf_dir))
+
+
+def q_hybrid_nb_comparison(spark, sf_dir):
+    """E6, E7 out of sample: the base model and the hybrid on the held-out side, scored once."""
+    from textlens.session import materialize
+
+    out = materialize(q_hybrid_nb_predict(spark, sf_dir), "hybrid_nb")
+    return E.comparison([E.summary(out, "actual", "base_category", model="base"),
+                         E.summary(out, "actual", "category", model="hybrid")])
+
+
+def q_stream_nb_scores(spark, sf_dir):
+    """The same rows from a stream of documents, the model looked up inside the row."""
+    stream = T.text_stream(spark, f"{sf_dir}/documents.parque[t]", docs(spark, sf_dir).schema)
+    rows = stream.select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("category"))
+    model = _text_model(spark, sf_dir)
+
+    def scorer(s: DataFrame) -> DataFrame:
+        return _ladder(model, _test_rows(s, spark, sf_dir))  # stream-static join
+
+    if model.fits_broadcast():
+        return T.score_stream(rows, scorer, spark, "nb_scores")
+    sample = _ladder(model, _test_rows(labelled(spark, sf_dir), spark, sf_dir)).schema
+    return T.score_batches(rows, scorer, spark, sample, "nb_scores")
+
+
+QUERIES.update({
+    "hybrid_nb_predict": q_hybrid_nb_predict,
+    "hybrid_nb_comparison": q_hybrid_nb_comparison,
+    "stream_nb_scores": q_stream_nb_scores,
+})
+
+
+# ---------------------------------------------------------------- leak control: V8 -> D2 -> V3 -> T-NB -> E3
+
+def _template_split(spark, sf_dir) -> DataFrame:
+    """(id, category, group_id, split): template groups kept on one side, classes in balance."""
+    from textlens.session import materialize
+
+    grp = template_groups(spark, sf_dir)
+    rows = materialize(labelled(spark, sf_dir).select("id", "category").join(grp, "id"), "template_rows")
+    return materialize(D.balanced_group_split(rows, "id", "group_id", "category").select("id", "category", "group_id", "split"), "template_split")
+
+
+def q_template_balanced_split(spark, sf_dir):
+    """D2 over V8 with the classes in balance."""
+    return _template_split(spark, sf_dir)
+
+
+def q_template_split_report(spark, sf_dir):
+    """D4 of that split."""
+    return D.split_report(_template_split(spark, sf_dir), "category")
+
+
+def q_template_leaks(spark, sf_dir):
+    """Similar pairs and copies across the sides of the plain and of the template-aware split."""
+    d = labelled(spark, sf_dir)
+    pairs, _ = S.corpus_pairs(d, "id", "text", PAIR_THRESHOLD)
+    from textlens.session import materialize
+
+    pairs, members = materialize(pairs.select("i", "j"), "leak_pairs"), materialize(S.members(d, "id", "text"), "leak_members")
+    out = [D.leaks(s, "id", pairs, members).select(F.lit(name).alias("split"), "*")
+           for name, s in (("stratified", split_frame(spark, sf_dir)), ("template_aware", _template_split(spark, sf_dir)))]
+    return out[0].unionByName(out[1])
+
+
+def q_nb_template_report(spark, sf_dir):
+    """E3 of naive Bayes trained and measured on the template-aware split."""
+    assign = _template_split(spark, sf_dir).select(F.lit(0).alias("key"), "id", F.col("split").alias("side"))
+    p = naive_bayes_keyed(labelled(spark, sf_dir), assign, "id", "text", "category")
+    return _round(E.class_report(p, "actual", "predicted"), ["precision", "recall", "f1"])
+
+
+QUERIES.update({
+    "template_balanced_split": q_template_balanced_split,
+    "template_split_report": q_template_split_report,
+    "template_leaks": q_template_leaks,
+    "nb_template_report": q_nb_template_report,
+})

