@@ -7,6 +7,9 @@ before any shuffle.
 
 from __future__ import annotations
 
+import functools
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,3 +121,125 @@ def empty_after_cleaning(df: DataFrame, text_col: str) -> DataFrame:
 def script_distribution(df: DataFrame, text_col: str) -> DataFrame:
     """P10: P6 over F4."""
     return distribution(df.select(detect_script(text_col).alias("script")), "script")
+
+
+# ---------------------------------------------------------------- P7 for any numeric column
+
+SELECT_BUCKETS = 1024  # ranges that a round splits the values between two bounds into
+
+
+def _buckets(values: DataFrame, ranges: list[tuple[int, float, float]], curved: bool) -> dict:
+    """{range number: [(bucket, count, least, largest)]} of ``values`` (c, x); at most ``SELECT_BUCKETS`` a range.
+
+    ``curved``: the ranges are equal on a logarithmic scale of either sign, over fifteen powers of ten.
+    """
+    def unit(lo, hi):
+        most = max(abs(lo), abs(hi))
+        return most * 1e-15 if most > 1e-290 else most
+
+    table = F.array(*[F.struct(F.lit(i).alias("r"), F.lit(c).alias("c"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(unit(lo, hi)).alias("m"))
+                      for i, (c, lo, hi) in enumerate(ranges)])
+
+    def scale(name):
+        x = F.col(name)
+        return F.signum(x) * F.log1p(F.abs(x) / F.col("m")) if curved else x / 2  # halves: a width cannot overflow
+
+    mine = F.filter(table, lambda t: (t["c"] == F.col("c")) & (t["lo"] <= F.col("x")) & (F.col("x") <= t["hi"]))
+    # The bounds go to the first and the last range, so every round parts them.
+    share = F.try_divide(scale("x") - scale("lo"), scale("hi") - scale("lo"))
+    inner = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * SELECT_BUCKETS), F.lit(SELECT_BUCKETS - 1))
+    each = values.select("x", F.inline(mine)).select("r", "x", F.when(F.col("x") == F.col("hi"), SELECT_BUCKETS - 1).otherwise(inner).alias("b"))
+    out: dict = {}
+    for r in each.groupBy("r", "b").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect():
+        out.setdefault(r["r"], []).append((r["b"], r["n"], r["lo"], r["hi"]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def select_ranks(values: DataFrame, ranks: dict[tuple[int, int], tuple[float, float]]) -> dict[tuple[int, int], float]:
+    """Exact order statistics of ``values`` (c, x), by refinement of the value range.
+
+    ``ranks`` maps (column number, rank from 0) to bounds of the column.  A round counts the values between
+    the bounds in equal ranges (a partial aggregate, no sort, no window), and goes on inside the range
+    that holds the rank, between the least and the largest value there.  It ends where these are equal, so
+    a value that a third of the rows have ends at once; where at most ``SELECT_BUCKETS`` values
+    are left, they are fetched and sorted.  Rounds of equal and of logarithmic ranges alternate, so values of
+    very different size take few.  All columns and ranks share the rounds.
+    """
+    open_ = {k: (lo, hi, 0) for k, (lo, hi) in ranks.items()}
+    found, curved = {k: lo for k, (lo, hi, _) in open_.items() if lo == hi}, False
+    while len(found) < len(open_):
+        todo = {k: v for k, v in open_.items() if k not in found}
+        ranges = sorted({(k[0], lo, hi) for k, (lo, hi, _) in todo.items()})
+        got, curved = _buckets(values, ranges, curved), not curved
+        few = {}
+        for k, (lo, hi, below) in todo.items():
+            for _, n, least, largest in got[ranges.index((k[0], lo, hi))]:
+                if k[1] < below + n:
+                    open_[k] = (least, largest, below)
+                    if least == largest:
+                        found[k] = least
+                    elif n <= SELECT_BUCKETS:
+                        few[k] = (least, largest, below)
+                    break
+                below += n
+        if few:
+            spans = sorted({(k[0], lo, hi) for k, (lo, hi, _) in few.items()})
+            inside = [(F.col("c") == c) & F.col("x").between(lo, hi) for c, lo, hi in spans]
+            rows = values.filter(functools.reduce(lambda a, b: a | b, inside)).collect()  # at most SELECT_BUCKETS a span
+            for k, (lo, hi, below) in few.items():
+                own = sorted(r["x"] for r in rows if r["c"] == k[0] and lo <= r["x"] <= hi)
+                found[k] = own[k[1] - below]
+    return found
+
+
+def numeric_summary(df: DataFrame, columns: list[str], quantiles: tuple[float, ...] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(column_name, count, mean, std, min, q25, q50, q75, max) of numeric columns of any type; exact quartiles,
+    interpolated between neighbours.
+
+    Nulls and NaN are not counted; a column without values has nulls, its count is 0; std needs two values.
+    The driver holds a few numbers a column.
+    """
+    def value(c):
+        x = F.col(c).cast("double")
+        return F.when(~F.isnan(x), x)
+
+    aggs = [f(value(c)) for c in columns for f in (F.count, F.avg, F.stddev_samp, F.min, F.max)]
+    flat = list(df.agg(*[a.alias(f"a{i}") for i, a in enumerate(aggs)]).first())
+    facts = [flat[5 * i:5 * i + 5] for i in range(len(columns))]
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("c"), value(c).alias("x")) for i, c in enumerate(columns)])).alias("v"))
+    values = values.select("v.c", "v.x").filter("x IS NOT NULL")
+    places = {(i, q): q * (f[0] - 1) for i, f in enumerate(facts) if f[0] for q in quantiles}
+    ranks = {(i, int(r)): (facts[i][3], facts[i][4]) for (i, _), at in places.items() for r in (math.floor(at), math.ceil(at))}
+    found = select_ranks(values, ranks) if ranks else {}
+    rows = []
+    for i, (c, (n, mean, std, low, high)) in enumerate(zip(columns, facts)):
+        cuts = []
+        for q in quantiles:
+            at = places.get((i, q))
+            if at is None:
+                cuts.append(None)
+                continue
+            a, b = found[i, math.floor(at)], found[i, math.ceil(at)]
+            cuts.append(a + (b - a) * (at - math.floor(at)))
+        rows.append((c, n, mean, std, low, *cuts, high))
+    names = [f"q{round(100 * q)}" for q in quantiles]
+    schema = "column_name string, count long, mean double, std double, min double, " + ", ".join(f"{x} double" for x in names) + ", max double"
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
+# ---------------------------------------------------------------- P5, approximate and mergeable
+
+HLL_BITS = 12  # 2^12 registers: a standard error of about 1.6 %
+
+
+def distinct_sketches(df: DataFrame, col: str, by: list[str], bits: int = HLL_BITS) -> DataFrame:
+    """(by..., n, sketch): rows and a HyperLogLog sketch of the distinct values of each group, to be stored.
+
+    A partial aggregate; a sketch has a fixed size, so a group of any size is one small row.  Nulls do not count.
+    """
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_agg(col, F.lit(bits)).alias("sketch"))
+
+
+def distinct_of_sketches(sketches: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by..., n, approx_distinct) of the union of stored sketches, without the rows they came from."""
+    return sketches.groupBy(*(by or [])).agg(F.sum("n").alias("n"), F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("approx_distinct"))

@@ -763,3 +763,78 @@ QUERIES.update({
     "template_leaks": q_template_leaks,
     "nb_template_report": q_nb_template_report,
 })
+
+
+# ---------------------------------------------------------------- P7 of doubles, P5 from stored sketches
+
+LINEITEM_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+
+
+def q_numeric_summary(spark, sf_dir):
+    """P7 with exact quartiles of the numeric columns of lineitem."""
+    out = P.numeric_summary(read_table(spark, sf_dir, "lineitem"), LINEITEM_NUMBERS)
+    return _round(out, ["mean", "std", "min", "q25", "q50", "q75", "max"])
+
+
+def q_distinct_sketches(spark, sf_dir):
+    """P5, approximate: distinct orders by month and over all months, from stored sketches of the months; the
+    exact counts beside, and whether the estimate is within five standard errors."""
+    from textlens.session import materialize
+
+    d = read_table(spark, sf_dir, "lineitem").select(F.date_format("l_shipdate", "yyyy-MM").alias("month"), F.col("l_orderkey").alias("o"))
+    stored = materialize(P.distinct_sketches(d, "o", ["month"]), "sketches")
+    approx = P.distinct_of_sketches(stored, ["month"]).unionByName(P.distinct_of_sketches(stored).withColumn("month", F.lit("all")))
+    exact = d.groupBy("month").agg(F.count_distinct("o").alias("distinct")).unionByName(
+        d.agg(F.count_distinct("o").alias("distinct")).withColumn("month", F.lit("all")))
+    bound = 5 * 1.04 / (1 << P.HLL_BITS) ** 0.5
+    return approx.join(exact, "month").select("month", "n", "distinct", (
+        F.abs(F.col("approx_distinct") - F.col("distinct")) <= F.col("distinct") * bound).alias("within_bound"))
+
+
+QUERIES.update({
+    "numeric_summary": q_numeric_summary,
+    "distinct_sketches": q_distinct_sketches,
+})
+
+
+# ---------------------------------------------------------------- the log by day
+
+from textlens.sources import sinks as SK  # noqa: E402
+
+
+def _dated_log(spark, sf_dir) -> DataFrame:
+    """The scored log written by day, its first day written a second time, its second day truncated, read back."""
+    import os
+    import uuid
+
+    from textlens.session import checkpoint_dir, materialize
+
+    path = os.path.join(checkpoint_dir(spark), "logs", uuid.uuid4().hex[:12])
+    log = materialize(scored_log(spark, sf_dir).drop("complaint"), "scored_log")
+    SK.replace_days(log, path)
+    days = [r[0] for r in log.select(F.to_date("timestamp").alias("d")).distinct().orderBy("d").limit(2).collect()]  # the first two
+    if days:
+        SK.replace_days(log.filter(F.to_date("timestamp") == F.lit(days[0])), path)
+    if len(days) > 1:
+        SK.truncate_day(spark, path, str(days[1]), log.schema)
+    return SK.read_days(spark, path, log.schema)
+
+
+def q_dated_log_days(spark, sf_dir):
+    """A1, A3 by day of that log."""
+    hundredths = F.round(F.col("confidence") * 10000.0).cast("long")
+    return (_dated_log(spark, sf_dir).groupBy(F.col("day").cast("string").alias("day"))
+            .agg(F.count(F.lit(1)).alias("n"), F.sum(hundredths).alias("confidence_hundredths")))
+
+
+def q_dated_log_recent(spark, sf_dir):
+    """A6 of that log: the last ten rows, from the days that hold them (the ten are the feature)."""
+    last = SK.recent_days(_dated_log(spark, sf_dir), 10)
+    return (last.orderBy(F.col("timestamp").desc(), "doc_id").limit(10)
+            .select("doc_id", clock_text("timestamp").alias("timestamp"), "category", F.round("confidence", R).alias("confidence"), "method"))
+
+
+QUERIES.update({
+    "dated_log_days": q_dated_log_days,
+    "dated_log_recent": q_dated_log_recent,
+})

