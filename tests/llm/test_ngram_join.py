@@ -113,3 +113,15 @@ def test_repeated_rows_stay_once(docs_of):
     null = [t for i, t in got if i == 0]
     assert len(null) == 1 and null[0] in (text, text + " more")
     assert got[1:] == sorted([(4, other), (4, "short"), (6, "alone"), (7, ""), (7, "")])
+
+
+def test_keys_with_the_same_sets_stay_once(spark):
+    """Three keys over one group of sets, one of them with a further set, one key of a single component."""
+    k = spark.createDataFrame([(t, s) for t in (1, 2, 3) for s in (10, 11, 12)] + [(4, s) for s in (10, 11, 12, 13)] + [(5, 10), (5, 14)],
+                              "token long, sid long")
+    comp = spark.createDataFrame([(10, 10), (11, 11), (12, 10), (13, 13), (14, 10)], "sid long, comp long")
+    full = spark.createDataFrame([(s, 5, bytearray(b"ab")) for s in range(10, 15)], "sid long, n int, marks binary")
+    got = {}
+    for r in J._members(k, comp, full).collect():
+        got.setdefault(r["token"], set()).add(r["sid"])
+    assert sorted(map(sorted, got.values())) == [[10, 11, 12], [10, 11, 12, 13]]

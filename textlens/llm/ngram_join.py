@@ -416,10 +416,14 @@ def _components(full: DataFrame, links: DataFrame) -> DataFrame:
 def _members(k: DataFrame, comp: DataFrame, full: DataFrame) -> DataFrame:
     """The sets under keys that hold more than one component, each key's sets side by side.
 
+    Near copies have dozens of rare shingles in common, and each of these keys has the same sets: one
+    of them stays.  Keys have the same sets if their number and two hashes over them agree (128 bits).
     A key of more than GROUP sets is dealt as pairs of blocks of about GROUP sets.
     """
     c = k.join(comp, "sid")
-    mixed = c.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y")
+    each = c.groupBy("token").agg(F.count(F.lit(1)).alias("size"), F.min("comp").alias("x"), F.max("comp").alias("y"),
+                                  F.bit_xor(F.xxhash64("sid")).alias("one"), F.bit_xor(F.xxhash64("sid", F.lit(1))).alias("two"))
+    mixed = each.filter("x <> y").groupBy("size", "one", "two").agg(F.min("token").alias("token"))
     m = c.join(mixed.select("token", F.ceil(F.col("size") / GROUP).cast("int").alias("blocks")), "token")
     own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     m = m.select("token", "sid", "comp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
