@@ -838,3 +838,35 @@ QUERIES.update({
     "dated_log_days": q_dated_log_days,
     "dated_log_recent": q_dated_log_recent,
 })
+
+
+# ---------------------------------------------------------------- T2 taken up again
+
+def q_stream_totals_resumed(spark, sf_dir):
+    """T2 stopped after its first batch and taken up again from the same folder: the totals of the whole stream."""
+    import os
+    import uuid
+
+    from textlens.session import checkpoint_dir
+
+    folder = os.path.join(checkpoint_dir(spark), "streams", uuid.uuid4().hex[:12])
+    stopped = []
+
+    def stop(epoch: int) -> None:
+        if not stopped:
+            stopped.append(epoch)
+            raise InterruptedError("stopped between the batch's folder and its record")
+
+    def run() -> DataFrame:
+        stream, scorer = _scored_doc_stream(spark, sf_dir)
+        return T.resumable_totals(scorer(stream), spark, folder, after_batch=stop)
+
+    try:
+        run()
+    except Exception:  # the stop above, as Spark reports it; anything else is raised again by the second run
+        if not stopped:
+            raise
+    return run().drop("epoch")
+
+
+QUERIES.update({"stream_totals_resumed": q_stream_totals_resumed})

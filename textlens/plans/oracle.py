@@ -735,3 +735,5 @@ FROM {DATED_LOG} GROUP BY day""",
     "dated_log_recent": f"""SELECT doc_id, strftime(timestamp, '%Y-%m-%d %H:%M:%S') AS timestamp, category, round(confidence, {R}) AS confidence, method
 FROM {DATED_LOG} ORDER BY dl_order DESC, doc_id LIMIT 10""".replace("dl_order", '"timestamp"'),
 })
+
+SQL["stream_totals_resumed"] = SQL["stream_counts"]

@@ -101,3 +101,45 @@ def running_totals(scored_stream: DataFrame, spark: SparkSession, name: str = "t
     res = spark.read.schema(agg.schema).parquet(last["path"]) if last else spark.createDataFrame([], agg.schema)
     return res.select("category", "n", (F.col("_conf_sum") / (F.col("n") * 100.0)).alias("avg_confidence_pct"),
                       (F.col("_hybrid") * 100.0 / F.col("n")).alias("hybrid_share_pct"))
+
+
+# ---------------------------------------------------------------- T2 that can be stopped and taken up again
+
+def resumable_totals(scored_stream: DataFrame, spark: SparkSession, folder: str, id_col: str | None = None, ts_col: str | None = None,
+                     watermark: str = "1 hour", hybrid_marker: str = "hybrid", after_batch: Callable[[int], None] | None = None) -> DataFrame:
+    """T2 in update mode, in a ``folder`` that the caller names and passes again after a stop.
+
+    State is one row a category.  Each batch writes the categories that it changed to ``epoch=<number>``, replacing
+    what an earlier attempt at the same batch left, before Spark's checkpoint records the batch; a run that dies in
+    between repeats the batch and its folder, so nothing counts twice.  With ``id_col`` and ``ts_col``, rows that
+    arrive again within ``watermark`` are dropped first.  ``after_batch`` is called after each folder is written.
+    Returns ``latest_totals(folder)`` once the stream is drained.
+    """
+    s = scored_stream
+    if id_col and ts_col:
+        s = s.withWatermark(ts_col, watermark).dropDuplicatesWithinWatermark([id_col])
+    changed = s.groupBy("category").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("confidence") * 10000.0).cast("long")).alias("conf_sum"),
+        F.count_if(F.contains(F.col("method"), F.lit(hybrid_marker))).alias("hybrid"))
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(folder, "totals", f"epoch={epoch}"))
+        if after_batch:
+            after_batch(epoch)
+
+    q = (changed.writeStream.outputMode("update").option("checkpointLocation", os.path.join(folder, "checkpoint"))
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    if q.exception():
+        raise q.exception()
+    return latest_totals(spark, folder)
+
+
+def latest_totals(spark: SparkSession, folder: str) -> DataFrame:
+    """(category, n, avg_confidence_pct, hybrid_share_pct, epoch): each category as its last batch left it."""
+    path = os.path.join(folder, "totals")
+    schema = "category string, n long, conf_sum long, hybrid long, epoch long"
+    rows = spark.read.schema(schema).parquet(path) if _has_epochs(spark, path) else spark.createDataFrame([], schema)
+    last = rows.groupBy("category").agg(F.max(F.struct("epoch", "n", "conf_sum", "hybrid")).alias("t"))
+    return last.select("category", "t.n", (F.col("t.conf_sum") / (F.col("t.n") * 100.0)).alias("avg_confidence_pct"),
+                       (F.col("t.hybrid") * 100.0 / F.col("t.n")).alias("hybrid_share_pct"), "t.epoch")
