@@ -27,6 +27,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlens.session import materialize
+
 MASKS = ["111101", "110011001"]
 BITMAP_BITS = 1 << 20
 BROADCAST_ROWS = 500_000
@@ -152,7 +154,16 @@ def clean_documents(docs: DataFrame, bench: DataFrame) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, bench: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose own text leaks; rows of other texts that share a doc_id, null too, stay."""
-    bad = contaminated(overlaps(docs, bench, by_text=True)).select(F.col("doc_id").alias("_id"), F.col("content").alias("_leak")).distinct()
-    return docs.withColumn("_text", text_hash()).join(
-        bad, F.col("_text").eqNullSafe(F.col("_leak")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti").drop("_text")
+    """``docs`` without the rows whose own text leaks; rows of other texts that share a doc_id, null too, stay.
+
+    The leaks are written first.  A row whose (doc_id, text) misses their bitmap is clean and stays where
+    it is; only the rows that hit it, the leaks and a few more, are shuffled to the exact anti join.
+    """
+    bad = materialize(contaminated(overlaps(docs, bench, by_text=True)).select(
+        F.col("doc_id").alias("_id"), F.col("content").alias("_leak")).distinct(), "leaks")
+    bits = bitmap(bad.select(F.xxhash64("_id", "_leak").alias("h")))
+    one, two = _slots(F.xxhash64("doc_id", "_text"))
+    set_in = lambda slot: F.getbit(F.get(bits, F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))) == 1
+    marked = docs.withColumn("_text", text_hash()).withColumn("_hit", set_in(one) & set_in(two))
+    hit = marked.filter("_hit").join(bad, F.col("_text").eqNullSafe(F.col("_leak")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left_anti")
+    return marked.filter("NOT _hit").unionByName(hit).select(*docs.columns)
