@@ -33,8 +33,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textlens.functions.text import bigrams, keyword_weight, normalize_text, tokens
+from textlens.functions.text import keyword_weight, normalize_text
 from textlens.operators.common import top_k_per_group
+from textlens.operators.tfidf import gram_counts
 from textlens.session import materialize
 
 SIZES = (8, 6, 4, 3, 2, 1)       # characters in a gram, largest first
@@ -291,10 +292,11 @@ def first_generation(found: DataFrame, keep: list[str], index: PhraseIndex, pref
 def learned_dictionary(df: DataFrame, text_col: str, label_col: str, per_class: int) -> DataFrame:
     """(kw_id, category, cat_order, keyword): per class its ``per_class`` most frequent two-word phrases.
 
-    Counted by a partial aggregate and ranked by the salted top-k; ties go to the smaller phrase.
+    Counted where the texts are, summed by a partial aggregate and ranked by the salted top-k; ties go to the smaller phrase.
     """
-    tok = df.filter(F.col(label_col).isNotNull()).select(F.col(label_col).alias("category"), tokens(F.col(text_col)).alias("tk"))
-    counts = tok.select("category", F.explode(bigrams("tk")).alias("keyword")).groupBy("category", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    texts = df.filter(F.col(label_col).isNotNull()).select(F.col(label_col).alias("category"), text_col)
+    counts = (gram_counts(texts, text_col, ["category"], "keyword", "n", unigrams=False, together=True)
+              .groupBy("category", "keyword").agg(F.sum("n").alias("n")))
     # Of the histogram of counts: the count of a class's last phrase.  Rarer phrases are not sorted.
     above = Window.partitionBy("category").orderBy(F.col("n").desc()).rowsBetween(Window.unboundedPreceding, -1)
     least = (counts.groupBy("category", "n").agg(F.count(F.lit(1)).alias("m"))
