@@ -167,3 +167,26 @@ def test_dictionary_read_by_spark(spark, tmp_path):
     (tmp_path / "lexicon.json").write_text('{"b": ["two words", "x"], "a": ["x", "é"], "empty": []}', encoding="utf-8")
     got = [tuple(r) for r in read_lexicon(spark, str(tmp_path / "lexicon.json")).orderBy("kw_id").collect()]
     assert got == [(0, "b", 0, "two words"), (1, "b", 0, "x"), (2, "a", 1, "x"), (3, "a", 1, "é")]
+
+
+def test_hits_in_rows_equal_brute_force_without_a_shuffle_of_hits(spark, case):
+    entries, texts = case
+    dictionary = lexicon_frame(spark, Lexicon(tuple(entries)))
+    rows = spark.createDataFrame([(i % 9 or None, t) for i, t in enumerate(texts)], "id int, text string")
+    ids = [i % 9 or None for i in range(len(texts))]
+    for squeeze in (True, False):
+        index = P.PhraseIndex.build(dictionary, squeeze)
+        found = P.hits(rows, "text", index, ["id"], in_rows=True)
+        want = brute_hits(texts, entries, squeeze)
+        got = collections.Counter((r["id"], tuple((e["kw_id"], e["category"], e["keyword"], e["weight"]) for e in r["_found"])) for r in found.collect())
+        assert got == collections.Counter((i, tuple(h)) for i, h in zip(ids, want))
+        for out in (P.scores(found, ["id"]), P.best(found, ["id"]), P.first_generation(found, ["id"], index)):
+            assert "Exchange hashpartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+        if squeeze:
+            got = collections.Counter((r["id"], r["kw_category"], r["kw_score"], tuple(r["kw_matches"])) for r in P.best(found, ["id"]).collect())
+            assert got == collections.Counter((i, *brute_best(h)) for i, h in zip(ids, want))
+            per = collections.Counter((i, c, sum(x[3] for x in h if x[1] == c), sum(x[1] == c for x in h)) for i, h in zip(ids, want) for c in {x[1] for x in h})
+            assert collections.Counter(tuple(r) for r in P.scores(found, ["id"]).collect()) == per
+        else:
+            got = collections.Counter(tuple(r) for r in P.first_generation(found, ["id"], index).collect())
+            assert got == collections.Counter((i, *brute_first(h, entries)) for i, h in zip(ids, want))

@@ -17,7 +17,7 @@ Two physical forms give the same rows, chosen by the measured bytes of the index
 
 * up to ``BROADCAST_BYTES`` the index is sent once to every executor as sorted arrays; a gram found
   there names its phrases and where they would begin, and the text is compared in place.  Nothing
-  but hits leaves the task;
+  but hits leaves the task, and with ``in_rows`` they stay in one record a text, so that K1-K5 need no shuffle;
 * beyond, (row, hash) pairs are shuffled to the index in an equi-join and candidates back to the texts,
   which are written once and shuffled once; a hash that many texts emit is split by AQE's skew handling.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textlens.functions.text import keyword_weight, normalize_text
@@ -42,6 +42,8 @@ SIZES = (8, 6, 4, 3, 2, 1)       # characters in a gram, largest first
 BITMAP_BITS = 23                 # 2^23 bits: 1 MB
 BROADCAST_BYTES = 32 << 20       # an index up to here is broadcast
 SLICE = 1_000_000                # code points hashed at a time
+ROWS = 1_000                     # texts whose hits are held at a time
+ENTRY = ["kw_id", "category", "cat_order", "keyword", "weight"]
 EMPTY = 0                        # key of phrases without a character
 _MULTIPLIER, _MIX = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93  # odd 64-bit constants
 
@@ -137,7 +139,7 @@ class _Lookup:
         import numpy as np
 
         order = np.argsort(table.column("h").to_numpy().view("u8"), kind="stable")
-        table = table.take(order)
+        self.table = table = table.take(order)
         self.words, self.sizes = words, [s for s in sizes if s]
         self.h = table.column("h").to_numpy().view("u8")
         self.at, self.kw_id = table.column("at").to_numpy(), table.column("kw_id").to_numpy().astype("i8")
@@ -161,7 +163,8 @@ class _Lookup:
             phrase = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
             yield place - self.at[phrase], phrase
 
-    def found(self, text: str) -> list[int]:
+    def places(self, text: str):
+        """Places in the sorted arrays of the phrases in a text, in the order of their numbers."""
         import numpy as np
 
         code, keywords, out = np.frombuffer(text.encode("utf-32-le"), "<u4"), self.keywords, set(self.empty)
@@ -174,7 +177,11 @@ class _Lookup:
                 for i, j, k in zip(place[may].tolist(), end[may].tolist(), phrase[may].tolist()):
                     if k not in out and text[i:j] == keywords[k]:
                         out.add(k)
-        return np.sort(self.kw_id[list(out)]) if out else np.empty(0, "i8")
+        at = np.array(sorted(out), "i8")
+        return at[np.argsort(self.kw_id[at], kind="stable")]
+
+    def found(self, text: str):
+        return self.kw_id[self.places(text)]
 
     def __call__(self, texts: list) -> list:
         import numpy as np
@@ -233,13 +240,49 @@ class PhraseIndex:
         return cls(table, bitmap.view("u8"), tuple(sorted(facts["sizes"])), first, facts["bytes"] or 0, squeeze)
 
 
-def hits(df: DataFrame, text_col: str, index: PhraseIndex, keep: list[str], broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def _entries_in_rows(df: DataFrame, keep: list[str], index: PhraseIndex) -> DataFrame:
+    """(keep..., _found ARRAY<STRUCT<kw_id, category, cat_order, keyword, weight>>) of (keep..., _norm), by ``kw_id``."""
+    entry, words, sizes = ENTRY, index.bitmap, index.sizes
+    sent = df.sparkSession.sparkContext.broadcast(index.table.select("h", "at", *entry).toArrow())
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        lookup = _Lookup(sent.value, words, sizes)
+        columns = [lookup.table.column(c).combine_chunks() for c in entry]
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                at = [np.empty(0, "i8") if t is None else lookup.places(t) for t in part.column("_norm").to_pylist()]
+                flat = pa.array(np.concatenate(at))
+                found = pa.StructArray.from_arrays([c.take(flat) for c in columns], entry)
+                ends = pa.array(np.cumsum([0, *map(len, at)]).astype("i4"))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.ListArray.from_arrays(ends, found)], [*keep, "_found"])
+
+    kept = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in keep)
+    fields = ", ".join(f"{c}: {index.table.schema[c].dataType.simpleString()}" for c in entry)
+    return df.mapInArrow(run, f"{kept}`_found` array<struct<{fields}>>")
+
+
+def hits(df: DataFrame, text_col: str, index: PhraseIndex, keep: list[str], broadcast_bytes: int = BROADCAST_BYTES,
+         in_rows: bool = False) -> DataFrame:
     """(_row, keep..., kw_id, category, cat_order, keyword, weight): every phrase in every row's text, and
-    for every row one further record whose phrase columns are null, so that rows without hits stay."""
+    for every row one further record whose phrase columns are null, so that rows without hits stay.
+
+    With ``in_rows`` an index that is broadcast gives one record a row instead, (keep..., _found): its phrases as
+    an array in the order of ``kw_id``.  The texts are dealt to all cores first, since a table may come in few splits.
+    """
     norm = normalize_text(F.col(text_col)) if index.squeezed else F.lower(F.col(text_col))
-    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, norm.alias("_norm"))
-    entry = ["kw_id", "category", "cat_order", "keyword", "weight"]
+    entry = ENTRY
     words, sizes = index.bitmap, index.sizes
+    if in_rows and index.bytes <= broadcast_bytes:
+        spark = df.sparkSession
+        parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        dealt = df.select(*keep, F.col(text_col).alias("_text")).repartition(parts)
+        norm = normalize_text(F.col("_text")) if index.squeezed else F.lower(F.col("_text"))
+        return _entries_in_rows(dealt.select(*keep, norm.alias("_norm")), keep, index)
+    rows = df.select(F.monotonically_increasing_id().alias("_row"), *keep, norm.alias("_norm"))
     if index.bytes <= broadcast_bytes:
         sent = df.sparkSession.sparkContext.broadcast(index.table.select("h", "at", "kw_id", "keyword").toArrow())
         found = _mapped(rows, "_norm", "_kw", lambda: _Lookup(sent.value, words, sizes), drop=True)
@@ -257,8 +300,21 @@ def hits(df: DataFrame, text_col: str, index: PhraseIndex, keep: list[str], broa
 
 # ---------------------------------------------------------------- K1-K5 on hits
 
+def _per_category(each) -> Column:
+    """``each(category, its entries)`` for the distinct (category, cat_order) of a row's ``_found``."""
+    kinds = F.array_distinct(F.transform("_found", lambda e: F.struct(e["category"].alias("category"), e["cat_order"].alias("cat_order"))))
+    return F.transform(kinds, lambda k: each(k, F.filter("_found", lambda e: e["category"].eqNullSafe(k["category"]) & e["cat_order"].eqNullSafe(k["cat_order"]))))
+
+
+def _weight(entries: Column) -> Column:
+    return F.aggregate(entries, F.lit(0), lambda acc, e: (acc + e["weight"]).cast("int"))
+
+
 def scores(found: DataFrame, keep: list[str]) -> DataFrame:
-    """K1: (keep..., category, score, n_matches) of every row and category with a hit; summed map-side."""
+    """K1: (keep..., category, score, n_matches) of every row and category with a hit; summed in the row or map-side."""
+    if "_found" in found.columns:
+        per = _per_category(lambda k, es: F.struct(k["category"].alias("category"), _weight(es).alias("score"), F.size(es).alias("n_matches")))
+        return found.select(*keep, F.inline(per))
     return (found.filter("kw_id IS NOT NULL").groupBy("_row", *keep, "category")
             .agg(F.sum("weight").cast("int").alias("score"), F.count(F.lit(1)).cast("int").alias("n_matches")).drop("_row"))
 
@@ -266,13 +322,22 @@ def scores(found: DataFrame, keep: list[str]) -> DataFrame:
 def best(found: DataFrame, keep: list[str], prefix: str = "kw_") -> DataFrame:
     """K2, K3: (keep..., category, score, matches) of every row; null category and no matches on a tie or without hits.
 
-    One shuffle by row serves both groupings; the lists are the row's own matches.
+    One shuffle by row serves both groupings, none if the hits are in the row; the lists are the row's own matches.
     """
+    if "_found" in found.columns:
+        none = F.struct(F.lit(0).alias("score"), F.lit(None).cast("string").alias("category"), F.array().cast("array<string>").alias("matches"))
+        per = _per_category(lambda k, es: F.struct(_weight(es).alias("score"), k["category"].alias("category"), F.transform(es, lambda e: e["keyword"]).alias("matches")))
+        row = found.select(*keep, F.sort_array(F.concat(per, F.array(none)), asc=False).alias("c"))
+        return _best_of(row, keep, prefix)
     per = (found.repartition("_row", *keep).groupBy("_row", *keep, "category")
            .agg(F.coalesce(F.sum("weight"), F.lit(0)).cast("int").alias("score"),
                 F.array_sort(F.collect_list(F.when(F.col("kw_id").isNotNull(), F.struct("kw_id", "keyword")))).alias("m")))
     named = F.struct(F.col("score"), F.col("category"), F.transform("m", lambda e: e["keyword"]).alias("matches"))
-    row = per.groupBy("_row", *keep).agg(F.sort_array(F.collect_list(named), asc=False).alias("c"))
+    return _best_of(per.groupBy("_row", *keep).agg(F.sort_array(F.collect_list(named), asc=False).alias("c")), keep, prefix)
+
+
+def _best_of(row: DataFrame, keep: list[str], prefix: str) -> DataFrame:
+    """From (keep..., c), the (score, category, matches) of each row from the highest down."""
     first, second = F.element_at("c", 1), F.try_element_at("c", F.lit(2))
     unique = (first["score"] > 0) & (F.coalesce(second["score"], F.lit(-1)) != first["score"])
     return row.select(*keep, F.when(unique, first["category"]).alias(f"{prefix}category"), first["score"].alias(f"{prefix}score"),
@@ -281,6 +346,12 @@ def best(found: DataFrame, keep: list[str], prefix: str = "kw_") -> DataFrame:
 
 def first_generation(found: DataFrame, keep: list[str], index: PhraseIndex, prefix: str = "kw1_") -> DataFrame:
     """K4: (keep..., category, score): the category with most hits, the first in dictionary order on ties and without hits."""
+    if "_found" in found.columns:
+        named = _per_category(lambda k, es: F.struct(F.size(es).alias("score"), (-k["cat_order"]).alias("neg"), k["category"].alias("category")))
+        top = found.select(*keep, F.array_max(named).alias("t"))
+        score = F.coalesce(F.col("t.score"), F.lit(0))
+        return top.select(*keep, F.when(score > 0, F.col("t.category")).otherwise(F.lit(index.first_category)).alias(f"{prefix}category"),
+                          score.alias(f"{prefix}score"))
     per = found.groupBy("_row", *keep, "category", "cat_order").agg(F.count("kw_id").cast("int").alias("score"))
     top = per.groupBy("_row", *keep).agg(F.max(F.struct("score", (-F.col("cat_order")).alias("neg"), "category")).alias("t"))
     return top.select(*keep, F.when(F.col("t.score") > 0, F.col("t.category")).otherwise(F.lit(index.first_category)).alias(f"{prefix}category"),

@@ -615,7 +615,7 @@ def phrase_dictionary(spark, sf_dir) -> DataFrame:
 
 def _phrase_hits(spark, sf_dir, squeeze: bool = True):
     index = PH.PhraseIndex.build(phrase_dictionary(spark, sf_dir), squeeze)
-    return PH.hits(labelled(spark, sf_dir), "text", index, ["id"]), index
+    return PH.hits(labelled(spark, sf_dir), "text", index, ["id"], in_rows=True), index
 
 
 def q_phrase_dictionary(spark, sf_dir):
