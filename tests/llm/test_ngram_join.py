@@ -125,3 +125,12 @@ def test_keys_with_the_same_sets_stay_once(spark):
     for r in J._members(k, comp, full).collect():
         got.setdefault(r["token"], set()).add(r["sid"])
     assert sorted(map(sorted, got.values())) == [[10, 11, 12], [10, 11, 12, 13]]
+
+
+def test_sets_are_read_by_sid_without_a_shuffle(docs_of, monkeypatch):
+    kept = []
+    monkeypatch.setattr(J, "links", lambda full, links=J.links: kept.append(full) or links(full))
+    text = " ".join(f"w{i}" for i in range(50))
+    assert J.near_duplicates(docs_of([(1, text), (2, text + " more"), (3, "alone")])).count() == 3
+    by_sid = kept[0].groupBy("sid").count()
+    assert "Exchange" not in by_sid._jdf.queryExecution().executedPlan().toString()

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textlens.operators.components import components
-from textlens.session import materialize
+from textlens.session import materialize, materialize_bucketed
 
 N = 5
 PERCENT = 80
@@ -456,7 +456,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``."""
     sets = materialize(shingle_sets(docs, id_col), "ngram_sets")
     keep = materialize(candidates(sets), "ngram_candidates")
-    full = materialize(full_sets(docs, keep), "ngram_full")
+    # In buckets by sid: the joins that follow read the sets there, and shuffle none of them but a pair's first.
+    # The aggregate has dealt them by sid already, into as many parts.
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = materialize_bucketed(full_sets(docs, keep), "ngram_full", buckets, "sid", dealt=True)
     _, comp = links(full)
     d = sets.select("doc_id", "n", "sid").join(comp, "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     first = d.filter("n > 0").groupBy("comp").agg(F.min("doc_id").alias("first"))
