@@ -5,7 +5,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textlens.functions.arrays import argmax, softmax, top_k
-from textlens.operators.scoring import hybrid_decision
+from textlens.operators.scoring import hybrid_decision, score
+from textlens.sources.lexicon import Lexicon
 
 
 def test_softmax_uniform_and_argmax_tie(spark):
@@ -63,3 +64,31 @@ def test_python_scorer_hook(spark):
     assert out[1]["category"] == "neg" and out[1]["method"] == "agreement"
     assert out[2]["category"] == "pos" and out[2]["method"] == "model"
     assert out[3]["kw_category"] is None and out[3]["category"] == "pos"
+
+
+def _scoring_rows(spark):
+    texts = spark.createDataFrame(
+        [(1, "The cat of the house"), (2, None), (3, "no hit"), (3, "and  IN\tthe end"), (None, "les"), (4, "les und")], "id long, text string")
+    base = spark.createDataFrame([(1, [0.9, 0.1]), (3, [0.2, 0.8]), (4, None), (None, [0.5, 0.5])], "id long, probs array<double>")
+    return texts, base, Lexicon.from_mapping({"0": ["the", "of the", "in the"], "1": ["les", "und", "und"]})
+
+
+def test_a_filter_on_the_decision_folds_a_text_once(spark):
+    texts, base, lexicon = _scoring_rows(spark)
+    out = score(texts.join(base, "id", "left"), "text", "probs", ["0", "1"], lexicon).filter("category IS NOT NULL").select("category")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_scores_from_a_table_of_their_own(spark):
+    texts, base, lexicon = _scoring_rows(spark)
+    names = ["id", "base_category", "kw_category", "kw_score", "kw_matches", "rule", "category", "confidence", "method", "matched_keywords"]
+    joined = score(texts.join(base, "id", "left"), "text", "probs", ["0", "1"], lexicon).select(names)
+    apart = score(texts, "text", "probs", ["0", "1"], lexicon, base=base, on="id").select(names)
+    key = lambda r: str(tuple(r))
+    assert sorted(apart.collect(), key=key) == sorted(joined.collect(), key=key)
+    assert apart.count() == 6
+    assert {r["kw_category"]: (r["kw_score"], r["kw_matches"]) for r in apart.filter("id = 1 OR id = 4").collect()} == {
+        "0": (3, ["the", "of the"]), "1": (3, ["les", "und", "und"])}
+    # The join carries no text that nothing reads.
+    plan = apart.select("category")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan[:plan.index("Generate")]

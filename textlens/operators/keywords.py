@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textlens.functions.arrays import let
 from textlens.functions.text import normalize_text, tokens, unigrams_bigrams
 from textlens.operators.common import top_k_per_group
 from textlens.sources.lexicon import Lexicon, lexicon_literal
@@ -62,17 +63,18 @@ def _category_scores(hits: Column, categories: list[str]) -> Column:
 def _decide(hits: Column, categories: list[str]) -> Column:
     """K2+K3 from a hit list: STRUCT<category, score, matches>; null category on
     no hit or on a tie (score then is the tied best), matches of the winner only."""
-    k = len(categories)
-    scores = _scores(hits, k)
-    best = F.array_max(scores)
-    n_at_best = F.size(F.filter(scores, lambda s: s == best))
-    win = (F.array_position(scores, best) - 1).cast("int")
-    unique = (best > 0) & (n_at_best == 1)
     names = F.array(*[F.lit(c) for c in categories])
-    matches = F.transform(F.filter(hits, _in_category(win)), lambda h: h["keyword"])
-    return F.struct(F.when(unique, F.element_at(names, win + 1)).alias("category"),
-                    best.alias("score"),
-                    F.when(unique, matches).otherwise(F.array().cast("array<string>")).alias("matches"))
+
+    def decided(scores, best):
+        unique = (best > 0) & (F.size(F.filter(scores, lambda s: s == best)) == 1)
+        # The winner's place, null without one: then no hit is the winner's.
+        return let(F.when(unique, (F.array_position(scores, best) - 1).cast("int")), lambda win: F.struct(
+            F.when(win.isNotNull(), F.element_at(names, win + 1)).alias("category"),
+            best.alias("score"),
+            F.transform(F.filter(hits, _in_category(win)), lambda h: h["keyword"]).alias("matches")))
+
+    # Scores and winner are read by lambdas, which would derive them again for every element.
+    return let(_scores(hits, len(categories)), lambda scores: let(F.array_max(scores), lambda best: decided(scores, best)))
 
 
 def keyword_hits(text: Column, lexicon: Lexicon, normalize: bool = True) -> Column:
@@ -93,12 +95,9 @@ def with_keyword_result(df: DataFrame, text_col: str, lexicon: Lexicon, prefix:
     (best score; the tied best score on ties; 0 on no hit) and ``kw_matches``
     (phrases of the winner in dictionary order; empty otherwise).
     """
-    r = f"_{prefix}r"
-    return (df.withColumn(r, keyword_result(F.col(text_col), lexicon))
-            .withColumn(f"{prefix}category", F.col(r)["category"])
-            .withColumn(f"{prefix}score", F.col(r)["score"])
-            .withColumn(f"{prefix}matches", F.col(r)["matches"])
-            .drop(r))
+    # A generator's output: a filter on what is derived from it stays above, and does not fold the text again.
+    return df.select("*", F.inline(F.array(keyword_result(F.col(text_col), lexicon))).alias(
+        f"{prefix}category", f"{prefix}score", f"{prefix}matches"))
 
 
 def keyword_scores(df: DataFrame, id_col: str, text_col: str, lexicon: Lexicon) -> DataFrame:

@@ -119,13 +119,19 @@ def hybrid_decision(df: DataFrame, base_cat: str = "base_category", base_conf: s
             .withColumn("matched_keywords", F.when(rung.isin(2, 3, 4, 6), F.col(kw_matches)).otherwise(empty)))
 
 
-def score(df: DataFrame, text_col: str, prob_col: str, labels: list, lexicon: Lexicon, **ladder) -> DataFrame:
+def score(df: DataFrame, text_col: str, prob_col: str, labels: list, lexicon: Lexicon,
+          base: DataFrame | None = None, on: str | None = None, **ladder) -> DataFrame:
     """M5/M6: batch scoring of any text table that already carries base probabilities.
 
-    One projection per row (arg-max, keyword match, ladder): no shuffle, order kept.
+    One projection per row (arg-max, keyword match, ladder): no shuffle, order kept.  With ``base``, the
+    probabilities are a table of their own, left-joined by ``on``: the texts are dealt by it once, since a
+    table may come in few splits, and meet their keywords there; the join carries a text only if it is read later.
     """
-    out = with_prediction(df, prob_col, labels)
-    out = with_keyword_result(out, text_col, lexicon)
+    if base is None:
+        out = with_keyword_result(with_prediction(df, prob_col, labels), text_col, lexicon)
+    else:
+        out = with_keyword_result(df.repartition(on), text_col, lexicon)
+        out = out.join(with_prediction(base, prob_col, labels), on, "left")
     return hybrid_decision(out, **ladder)
 
 

@@ -282,8 +282,8 @@ def hybrid_scored(spark, sf_dir) -> DataFrame:
     """M5: every document, scored by base model (where it has an embedding) and keyword ladder (whole texts)."""
     scored, labels = centroid_scored(spark, sf_dir)
     d = docs(spark, sf_dir).select("doc_id", "text")
-    j = d.join(scored.select(F.col("vec_id").alias("doc_id"), "label", "probs"), "doc_id", "left")
-    return M.score(j, "text", "probs", labels, EMBED_LEXICON)
+    base = scored.select(F.col("vec_id").alias("doc_id"), "label", "probs")
+    return M.score(d, "text", "probs", labels, EMBED_LEXICON, base=base, on="doc_id")
 
 
 def q_softmax_argmax(spark, sf_dir):
