@@ -134,3 +134,21 @@ def test_sets_are_read_by_sid_without_a_shuffle(docs_of, monkeypatch):
     assert J.near_duplicates(docs_of([(1, text), (2, text + " more"), (3, "alone")])).count() == 3
     by_sid = kept[0].groupBy("sid").count()
     assert "Exchange" not in by_sid._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_a_mark_are_not_shuffled(spark, docs_of, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(i, f"alone {i}") for i in range(20)] + [(30, text), (31, text + " more"), (32, text), (32, text), (None, "alone 3"), (33, None)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J.one_per_group(docs_of(rows))
+        parts = out._jdf.queryExecution().sparkPlan().children()
+        assert parts.size() == 3
+        assert "SortMergeJoin" not in parts.apply(0).toString() and "SortMergeJoin" in parts.apply(1).toString()
+        got = sorted((r["doc_id"] or 0, r["text"] or "") for r in out.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == 22 and (30, text) in got and not {31, 32} & {i for i, _ in got}
+    monkeypatch.setattr(J, "SLOTS", 1)  # a bitmap that many rows hit by chance
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in J.one_per_group(docs_of(rows)).collect()) == got

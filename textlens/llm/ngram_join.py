@@ -47,6 +47,7 @@ WIDE = 1 << 16        # bitmap of a set between two leaves, travelling as 16-bit
 LEAF, FAN = 16, 8     # sets in a leaf node, children of an inner node
 GROUP = 2_000         # sets of one key in one task
 HOOKS = 1             # rounds of one pair per key and component before all pairs
+SLOTS = 1 << 18       # 64-bit words of the bitmap of marked rows, at most so many rows to broadcast
 SHIP = 1_000_000      # surviving set ids that travel with the second Arrow pass
 CHUNK = 1 << 20       # bytes hashed at a time
 
@@ -439,7 +440,9 @@ def links(full: DataFrame) -> tuple[DataFrame, DataFrame]:
     pair per key and component, which join what belongs together; the last round verifies
     every pair that the trees still leave between different components.
     """
-    k = materialize(keys(full), "ngram_keys")
+    # By sid as the aggregate has left them, so that the joins with components shuffle no keys.
+    buckets = int(full.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    k = materialize_bucketed(keys(full), "ngram_keys", buckets, "sid", dealt=True)
     found = materialize(verified(leader_pairs(k, F.min).unionByName(leader_pairs(k, F.max)).select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), full), "ngram_links")
     comp = _components(full, found)
@@ -481,8 +484,15 @@ def one_per_group(docs: DataFrame) -> DataFrame:
     # The rows that are not alone in their component or not alone as they are; written, since both parts below read it.
     marks = materialize(rows.withColumn("_away", F.col("doc_id") != F.col("first")).filter("_away OR rows > 1").select(
         F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.copy").alias("_copy"), "_away"), "ngram_marks")
-    marked = docs.withColumn("_text", copy).join(
-        marks, F.col("_text").eqNullSafe(F.col("_copy")) & docs["doc_id"].eqNullSafe(F.col("_id")), "left")
+    # A row that misses their bitmap is not among them and stays where it is, so that the join shuffles the texts of
+    # the others only.  More marks than bits would shuffle more texts, but lose none.
+    slot = lambda c: (F.pmod(c, F.lit(SLOTS)).alias("_slot"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned({c}, 40) & 63 AS int))").alias("_bit"))
+    bitmap = marks.select(*slot("_copy")).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    dealt = docs.withColumn("_text", copy).select("*", *slot("_text")).join(F.broadcast(bitmap), "_slot", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    some = dealt.filter(hit).select(*docs.columns, "_text")
+    marked = some.join(marks, F.col("_text").eqNullSafe(F.col("_copy")) & some["doc_id"].eqNullSafe(F.col("_id")), "left")
     # Only repeated rows are shuffled for this, each task's copies combined first.
     once = marked.filter("NOT _away").dropDuplicates(["doc_id", "_text"])
-    return marked.filter("_away IS NULL").unionByName(once).select(*docs.columns)
+    return dealt.filter(~hit).select(*docs.columns).unionByName(
+        marked.filter("_away IS NULL").select(*docs.columns)).unionByName(once.select(*docs.columns))
